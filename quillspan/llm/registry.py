@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspan.llm import chat, contamination, pages, privacy, quality, substrings, warc
+from quillspan.llm import chat, contamination, language, pages, pieces, privacy, quality, substrings, warc
 
 QUERIES = {
     "op2_substrings": substrings.op2_substrings,
@@ -10,7 +10,9 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_privacy": privacy.op5_privacy,
     "op6_contamination": contamination.op6_contamination,
+    "op7_language": language.op7_language,
     "op8_chat": chat.op8_chat,
+    "op9_pieces": pieces.op9_pieces,
     "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {
