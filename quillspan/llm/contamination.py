@@ -276,8 +276,9 @@ def cut_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are contaminated; the others as they are."""
-    return find_overlaps(docs, benchmark).where(~contaminated()).select(*docs.columns)
+    """``docs`` without the documents that are contaminated; the others as they are, all their columns too."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
+    return find_overlaps(rows, benchmark, "_text").where(~contaminated()).select("_row.*")
 
 
 def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,6 +246,12 @@ def sanitise(found: DataFrame) -> DataFrame:
     return found.mapInArrow(_sanitiser, found.schema)
 
 
+def sanitised(docs: DataFrame) -> DataFrame:
+    """All rows of ``docs`` with their personal data generalised; n_chars, where there is one, follows the text."""
+    out = sanitise(find_personal_data(docs)).drop("pii_spans")
+    return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
+
+
 def _digest(spans: str) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 

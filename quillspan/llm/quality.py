@@ -130,6 +130,12 @@ def judge(features: DataFrame) -> DataFrame:
     return features.withColumns({"base_failed": bad, "kept": ~(bad | compiled(RULES, columns))})
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with all their columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
+    return judge(quality_features(rows, "_text", ("_row",))).where("kept").select("_row.*")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(quality_features(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

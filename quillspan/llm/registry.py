@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillspan.llm import chat, contamination, language, pages, pieces, privacy, quality, substrings, warc
+from quillspan.llm import chat, contamination, language, neardup, pages, pieces, privacy, quality, substrings, warc
 
 QUERIES = {
+    "op1_jaccard": neardup.op1_jaccard,
     "op2_substrings": substrings.op2_substrings,
     "op3_pages": pages.op3_pages,
     "op4_warc": warc.op4_warc,
