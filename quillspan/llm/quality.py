@@ -133,7 +133,10 @@ def judge(features: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns."""
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
-    return judge(quality_features(rows, "_text", ("_row",))).where("kept").select("_row.*")
+    # a column that isn't deterministic keeps the filter above the projection: pushed
+    # through, it would repeat every expression that a later one uses more than once
+    j = judge(quality_features(rows, "_text", ("_row",))).select("_row", "kept", F.monotonically_increasing_id().alias("_n"))
+    return j.where("kept AND _n >= 0").select("_row.*")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
