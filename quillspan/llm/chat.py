@@ -63,7 +63,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     before = Window.partitionBy("conv_id").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
     e = e.withColumn("_cut", F.max(F.when(F.col("kind") == "regenerate", place)).over(before))
     e = e.where(F.col("_cut").isNull() | (place > F.col("_cut")))
-    e = e.withColumn("part", F.greatest(F.sum((F.col("kind") == "message").cast("int")).over(by_turn), F.lit(1)).cast("bigint"))
+    e = e.withColumn("part", F.sum((F.col("kind") == "message").cast("bigint")).over(by_turn))
     e = e.withColumn("n", F.row_number().over(all_turn))
     items = F.array_sort(F.collect_list(F.struct("n", "kind", "role", "text")))
     m = e.groupBy("conv_id", "turn", "part").agg(items.alias("i"))
