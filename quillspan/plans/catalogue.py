@@ -16,6 +16,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -528,3 +529,40 @@ _VERIFIED = f"""SELECT supplier, order_id, CASE WHEN moved THEN 'processo:0cand'
 def cite_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = verified(spark, sf_dir)
     return v.groupBy("supplier", "label", "path", F.round("confidence", 6).alias("confidence")).agg(F.count("*").alias("n"), F.sum("canonical_id").alias("ids"))
+
+
+@query()
+def synth_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspan.operators import synth
+
+    known = table(spark, sf_dir, "orders").count()
+    d = synth.generate(spark, 200, known, level=2)
+    return d.select("doc_id", F.length("text").alias("n_chars"), F.size("gold").alias("n_gold"))
+
+
+@query()
+def detect_all_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found spans against the gold of generated documents: matched, missed and additional ones by label."""
+    from quillspan.operators import detect, synth
+
+    known = table(spark, sf_dir, "orders").count()
+    d = synth.generate(spark, 200, known, level=2)
+    found = detect.detect(d.select("doc_id", "text")).withColumn("p", F.concat("family", F.lit(":"), "first"))
+    gold = d.select("doc_id", F.inline("gold")).withColumn("g", F.col("first").cast("string"))
+    m = spans.align(gold, found)
+    j = gold.join(m, ["doc_id", "g"], "left")
+    return j.groupBy("label").agg(F.count("*").alias("n"), F.count("p").alias("found"), F.count_if(F.col("overlap") == 1).alias("exact"))
+
+
+@query()
+def arbiter_mock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers for keys that several records own: first all asked, then all from the cache."""
+    from quillspan.operators import arbiter
+
+    r = base.records(spark, sf_dir)
+    item = F.struct(F.col("canonical_id").alias("id"), "own_class", "year", "rapporteur")
+    many = r.groupBy((F.col("canonical_id") % 400).cast("string").alias("key")).agg(F.array_sort(F.collect_list(item)).alias("candidates"), F.min_by("own_class", "canonical_id").alias("cited_class"), F.min_by("year", "canonical_id").alias("year"), F.min_by("rapporteur", "canonical_id").alias("rapporteur"))
+    q = many.withColumn("cache_key", arbiter.request_key(F.lit(arbiter.OPERATION), F.to_json(F.struct("key", "cited_class", "year", "rapporteur"))))
+    _, cache = arbiter.ask(q, spark.createDataFrame([], "cache_key string, answer bigint"))
+    again, _ = arbiter.ask(q, cache)
+    return q.select("key", "cache_key").join(again, "cache_key").select("key", "answer")
