@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions import keys, text
-from quillspan.operators import base, calibration, contract, evaluation, lookup, spans
+from quillspan.functions import forms, keys, text
+from quillspan.operators import audit, base, calibration, contract, evaluation, lookup, spans
 from quillspan.operators.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -566,3 +566,79 @@ def arbiter_mock(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, cache = arbiter.ask(q, spark.createDataFrame([], "cache_key string, answer bigint"))
     again, _ = arbiter.ask(q, cache)
     return q.select("key", "cache_key").join(again, "cache_key").select("key", "answer")
+
+
+# --- audits ------------------------------------------------------------------
+
+
+@query(f"SELECT court, count(*) AS records, 0::BIGINT AS without_key, count(state) AS with_state, 0::BIGINT AS n_cnj, 0::BIGINT AS n_registro, count(*) AS n_sequencial, 0::BIGINT AS n_outro FROM ({_RECORDS}) GROUP BY court")
+def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.index_statistics(base.identifiers(base.records(spark, sf_dir)))
+
+
+@query("SELECT o_orderstatus, count(*) AS n, min(o_totalprice) AS o_totalprice_min, round(quantile_cont(o_totalprice, 0.5), 4) AS o_totalprice_median, round(quantile_cont(o_totalprice, 0.9), 4) AS o_totalprice_p90, max(o_totalprice) AS o_totalprice_max FROM orders GROUP BY 1")
+def base_anatomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = audit.anatomy(table(spark, sf_dir, "orders"), "o_orderstatus", "o_totalprice")
+    return a.withColumns({c: F.round(c, 4) for c in ("o_totalprice_median", "o_totalprice_p90")})
+
+
+@query(f"SELECT CAST(number AS VARCHAR) AS key, count(DISTINCT supplier) AS n FROM ({_CITED}) WHERE moved GROUP BY number")
+def mentions_without_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = base.citations(spark, sf_dir).select(F.col("supplier").alias("doc_id"), keys.digit_key(F.col("number")).alias("key"))
+    return audit.mentions_without_owner(n, base.identifiers(base.records(spark, sf_dir)))
+
+
+_BLANK = r"regexp_replace({0}, '\s+', ' ', 'g')"
+
+
+@query(f"""WITH l AS ({_LINES}), w AS (SELECT doc_id, line_no, {_BLANK.format("concat_ws(' ', line, lead(line, 1) OVER p, lead(line, 2) OVER p)")} AS t FROM l WINDOW p AS (PARTITION BY doc_id ORDER BY line_no)),
+ f AS (SELECT array_to_string(string_split({_BLANK.format("trim(text)")}, ' ')[3:8], ' ') AS literal FROM benchmark)
+ SELECT DISTINCT doc_id, line_no, literal FROM w JOIN f ON contains(t, literal) WHERE literal <> '' AND list_contains(string_split(t, ' '), string_split(literal, ' ')[1])""")
+def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split(F.regexp_replace(F.trim("text"), r"\s+", " "), " ")
+    f = table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(words, 3, 6), " ").alias("literal"))
+    return audit.leaks(table(spark, sf_dir, "documents"), f)
+
+
+@query("""SELECT doc_id, key, n, first FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, key) AS r FROM (SELECT user_id AS doc_id, event_type AS key, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL HAVING count(*) >= 3)) WHERE r = 1""")
+def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.vote(table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("key"), F.col("event_id").alias("first")))
+
+
+@query("""SELECT event_id, before FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE event_type = 'purchase'""")
+def asof_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = audit.last_before(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "view", "event_id")
+    return e.where("event_type = 'purchase'").select("event_id", "before")
+
+
+@query(f"SELECT doc_id, count(*) FILTER (label = 'real') AS n_real, count(*) FILTER (label = 'inventada') AS n_inventada, count(*) FILTER (label = 'incompleta') AS n_incompleta FROM ({_MADE}) GROUP BY doc_id")
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.label_counts(made(spark, sf_dir))
+
+
+@query(f"WITH {_GP} SELECT (SELECT count(*) FROM gold) AS gold, (SELECT count(*) FROM pred) AS predicted, count(*) AS matched, count(*) FILTER (o = 1) AS exact, round(avg(o), 6) AS mean_iou, round(count(*) / (SELECT count(*) FROM gold), 6) AS recall, round(count(*) / (SELECT count(*) FROM pred), 6) AS precision FROM m")
+def detection_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold, pred = _gold_pred(spark, sf_dir)
+    m = audit.detection_metrics(gold, pred, spans.align(gold, pred))
+    return m.withColumns({c: F.round(c, 6) for c in ("mean_iou", "recall", "precision")})
+
+
+@query("""SELECT role, count(*) AS n, count(*) FILTER (answer IS NULL) AS abstained FROM (SELECT role, CASE WHEN length(text) > 100 THEN text END AS answer FROM conversations) GROUP BY role""")
+def cache_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("role", F.when(F.length("text") > 100, F.col("text")).alias("answer"))
+    return audit.cache_statistics(c, "role")
+
+
+@query(f"""SELECT o_orderkey, day(o_orderdate) || ' de ' || ['janeiro', 'fevereiro', 'março', 'abril', 'maio', 'junho', 'julho', 'agosto', 'setembro', 'outubro', 'novembro', 'dezembro'][month(o_orderdate)] || ' de ' || year(o_orderdate) AS written FROM orders""")
+def long_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", forms.long_date(F.col("o_orderdate")).alias("written"))
+
+
+@query("""WITH n AS (SELECT 'gen_n' || (doc_id % 3) || '_' || lpad(CAST(doc_id AS VARCHAR), 4, '0') AS id, doc_id FROM labels), s AS (SELECT 'gen_n2_' || lpad(CAST(doc_id AS VARCHAR), 4, '0') AS id FROM labels WHERE doc_id % 2 = 0)
+ SELECT coalesce(n.id, s.id) AS id, coalesce(CAST(nullif(regexp_extract(coalesce(n.id, s.id), '(?:^|_)n([1-9])(?:_|$)', 1), '') AS INT), 1) AS level, n.id IS NOT NULL AS in_gold FROM n FULL JOIN s ON n.id = s.id""")
+def document_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "labels")  # noqa: E741
+    name = lambda k: F.concat(F.lit("gen_n"), k, F.lit("_"), F.lpad(F.col("doc_id").cast("string"), 4, "0"))
+    gold, sample = l.select(name((F.col("doc_id") % 3).cast("string")).alias("id")), l.where("doc_id % 2 = 0").select(name(F.lit("2")).alias("id"))
+    both = gold.withColumn("g", F.lit(True)).unionByName(sample.withColumn("g", F.lit(False))).groupBy("id").agg(F.bool_or("g").alias("in_gold"))
+    return both.select("id", text.level_of(F.col("id")).alias("level"), "in_gold")
