@@ -55,13 +55,13 @@ FROM lineitem JOIN ({_RECORDS}) r ON l_orderkey = r.canonical_id"""
 # --- documents ---------------------------------------------------------------
 
 
-@query("SELECT lang, count(*) AS n, sum(length(coalesce(text, '')))::BIGINT AS chars, min(length(coalesce(text, ''))) AS shortest, max(length(coalesce(text, ''))) AS longest, count(*) FILTER (text IS NULL) AS missing FROM documents GROUP BY lang")
+@query("SELECT lang, count(*) AS n, sum(length(coalesce(text, '')))::BIGINT AS chars, min(length(coalesce(text, '')))::INT AS shortest, max(length(coalesce(text, '')))::INT AS longest, count(*) FILTER (text IS NULL) AS missing FROM documents GROUP BY lang")
 def doc_scan_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length(F.coalesce("text", F.lit("")))
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(n).alias("chars"), F.min(n).alias("shortest"), F.max(n).alias("longest"), F.count_if(F.col("text").isNull()).alias("missing"))
 
 
-_LINES = f"""SELECT doc_id, i - 1 AS line_no, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, line
+_LINES = f"""SELECT doc_id, (i - 1)::INT AS line_no, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, line
  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM {_D})"""
 
 
@@ -119,7 +119,7 @@ def accent_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part"
 
 
-@query(f"""WITH w AS ({_WORDS}) SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w) AS edits FROM w a JOIN w b ON a.w[1] = b.w[1] AND a.w < b.w WHERE levenshtein(a.w, b.w) <= 4""")
+@query(f"""WITH w AS ({_WORDS}) SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w)::INT AS edits FROM w a JOIN w b ON a.w[1] = b.w[1] AND a.w < b.w WHERE levenshtein(a.w, b.w) <= 4""")
 def edit_distance_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().withColumn("k", F.left("w", F.lit(1)))
     j = w.select("k", F.col("w").alias("a")).join(w.select("k", F.col("w").alias("b")), "k").where("a < b")
@@ -524,7 +524,7 @@ def initial_paths(spark: SparkSession) -> DataFrame:
 _VERIFIED = f"""SELECT supplier, order_id, CASE WHEN moved THEN 'processo:0cand' WHEN state <> own_state THEN 'processo:1cand:uf_incompativel' ELSE 'processo:1cand:cadeia_exata' END AS path FROM ({_CITED})"""
 
 
-@query(f"""SELECT supplier, CASE WHEN path = 'processo:1cand:cadeia_exata' THEN 'real' ELSE 'inventada' END AS label, path, CASE path WHEN 'processo:0cand' THEN 0.97 WHEN 'processo:1cand:uf_incompativel' THEN 0.7 ELSE 0.98 END AS confidence,
+@query(f"""SELECT supplier, CASE WHEN path = 'processo:1cand:cadeia_exata' THEN 'real' ELSE 'inventada' END AS label, path, (CASE path WHEN 'processo:0cand' THEN 0.97 WHEN 'processo:1cand:uf_incompativel' THEN 0.7 ELSE 0.98 END)::DOUBLE AS confidence,
  count(*) AS n, sum(CASE WHEN path = 'processo:1cand:cadeia_exata' THEN order_id END)::BIGINT AS ids FROM ({_VERIFIED}) GROUP BY ALL""")
 def cite_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = verified(spark, sf_dir)
