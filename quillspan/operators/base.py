@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.keys import STATES, digit_key, key_format
+from quillspan.operators import detect
 
 FIRST_NUMBER, MOVED = 1_000_000, 5_000_000
 CLASSES = {"F": "REsp", "O": "Rcl", "P": "HC"}
@@ -67,3 +68,24 @@ def render(citations: DataFrame) -> DataFrame:
     """With text: a sentence that cites class, number with dots, and state."""
     n = F.reverse(F.regexp_replace(F.reverse(F.col("number")), "([0-9]{3})(?=[0-9])", "$1."))
     return citations.withColumn("text", F.concat(F.lit("Conforme decidido no "), "cited_class", F.lit(" "), n, F.lit("/"), "state", F.lit(", nega-se provimento.")))
+
+
+HEADER = 600
+
+
+def own_numbers(records: DataFrame, id_col: str = "record_id", text_col: str = "text") -> DataFrame:
+    """id, key, chain, first: the numbers in records' headers that are their own; of equal key and chain the earliest."""
+    head = records.select(id_col, F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, HEADER).alias("text"))
+    f = detect.detect(head, "text", families=("processo",)).select(id_col, F.col("fields")["key"].alias("key"), F.col("fields")["chain"].alias("chain"), "first")
+    return f.where("key <> ''").groupBy(id_col, "key", "chain").agg(F.min("first").alias("first"))
+
+
+def normatives(records: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From the first lines of records (canonical_id, court, text) that are no rulings: súmulas (court, binding, number, canonical_id), statutes (statute, article, canonical_id), and the canonical ids that are neither."""
+    line = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")[0]
+    f = detect.detect(records.select("canonical_id", F.col("court").alias("_court"), line.alias("text")), "text", families=("sumula", "dispositivo"))
+    v = F.col("fields")
+    s = f.where("family = 'sumula'").select(F.coalesce(F.nullif(v["court"], F.lit("")), F.when(v["binding"] == "1", "STF"), "_court").alias("court"), (v["binding"] == "1").alias("binding"), v["number"].cast("int").alias("number"), "canonical_id")
+    d = f.where("family = 'dispositivo' AND fields['statute'] <> ''").select(v["statute"].alias("statute"), v["article"].alias("article"), "canonical_id")
+    rest = records.select("canonical_id").join(s.select("canonical_id").unionAll(d.select("canonical_id")).distinct(), "canonical_id", "left_anti")
+    return s, d, rest

@@ -226,6 +226,26 @@ def test_detectors_take_linear_time(value):
     assert time.time() - began < 5
 
 
+def test_tails():
+    t = "REsp 12.345/SP, julgado do STJ de 2019. Precedente do STF de 2020"
+    kept = detect.without_tails(t, detect.chosen(detect.candidates(t)))
+    assert [t[f.first : f.last] for f in kept] == ["REsp 12.345/SP", "Precedente do STF de 2020"]
+
+
+def test_glued_and_scanned():
+    assert detect.glued("AgRgREsp") == ["AGRG", "RESP"] and detect.glued("REsp") == ["RESP"] and detect.glued("xyz") == []
+    assert detect.scanned("RE5P") == "RESP" and detect.scanned("RESP") == "" and detect.scanned("X5") == ""
+
+
+def test_base_tables(spark):
+    r = spark.createDataFrame([(1, "STJ", "Súmula 7\nA pretensão"), (2, None, "Art. 5º da Constituição Federal\nTodos"), (3, "STF", "Súmula Vinculante 10"), (4, None, "outro"), (5, None, None)], "canonical_id bigint, court string, text string")
+    s, d, rest = base.normatives(r)
+    assert sorted(map(tuple, s.collect())) == [("STF", True, 10, 3), ("STJ", False, 7, 1)] and [tuple(x) for x in d.collect()] == [("CF", "5", 2)]
+    assert sorted(x.canonical_id for x in rest.collect()) == [4, 5]
+    heads = spark.createDataFrame([("a", "REsp 1.234/SP\nREsp 1.234/SP " + "x" * 700 + " HC 99.999"), ("b", None)], "record_id string, text string")
+    assert [tuple(x) for x in base.own_numbers(heads).collect()] == [("a", "1234", "RESP", 0)]
+
+
 def test_generated_documents(spark):
     d = synth.generate(spark, 60, 1000, level=2)
     again = synth.generate(spark, 60, 1000, level=2).repartition(3)
