@@ -15,7 +15,16 @@ _TAIL = rf"(?:(?:\s{{0,4}}[/\-–—]\s{{0,4}}|\s{{0,4}}\(\s{{0,4}}|\s{{1,4}})(?
 #: How near the end a state stands.
 TAIL = 32
 # Classes that count as one another.
-SAME_CLASS = (("RESP", "ARESP"), ("HC", "RHC"), ("MS", "RMS"), ("RE", "ARE"))
+SAME_CLASS = (("RESP", "RESPE"), ("ARESP", "ARESPE"), ("AGR", "AGINT", "AG"), ("RR", "AIRR", "ARR", "RRAG", "ROT", "E", "EDCIV"))
+# The court that the 14th digit of a 20-digit key names, and the classes that only one court has.
+COURT_OF_DIGIT = {"5": "TST", "6": "TSE", "7": "STM"}
+CLASSES_OF_COURT = {
+    "STJ": ("RESP", "ARESP", "ERESP", "EARESP", "RHC"),
+    "STF": ("RE", "ARE", "ADI", "ADPF", "ADC"),
+    "TSE": ("RESPE", "ARESPE", "RO", "AI", "AIJE", "RCED", "PC", "LT", "RP", "RRP", "TUTCAUT"),
+    "TST": ("RR", "AIRR", "ARR", "RRAG", "ROT"),
+    "STM": ("APL", "RSE", "EI", "RDI", "CJ", "CP"),
+}
 
 
 def fix_group(group: Column) -> Column:
@@ -61,6 +70,16 @@ def class_group(c: Column) -> Column:
     return out
 
 
+def inferred_court(main: Column, key: Column) -> Column:
+    """The court that a 20-digit key or else an exclusive class implies; null where neither does."""
+    digit, cls = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for d, court in COURT_OF_DIGIT.items():
+        digit = F.when((F.length(key) == 20) & (F.substring(key, 14, 1) == d), court).otherwise(digit)
+    for court, classes in CLASSES_OF_COURT.items():
+        cls = F.when(main.isin(*classes), court).otherwise(cls)
+    return F.coalesce(digit, cls)
+
+
 def class_tier(cited: Column, own: Column) -> Column:
     """1 same class, 2 compatible class, 3 another; a missing class is compatible."""
     return F.when(cited == own, 1).when(cited.isNull() | own.isNull() | (class_group(cited) == class_group(own)), 2).otherwise(3)

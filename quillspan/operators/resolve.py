@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.functions.keys import inferred_court
 from quillspan.operators import lookup
 
 #: Wide findings weaker than this that the base doesn't confirm are put aside.
@@ -22,6 +23,7 @@ def _finish(df: DataFrame, found: list[str], label: Column, path: Column, canoni
 def processes(found: DataFrame, identifiers: DataFrame) -> DataFrame:
     """By the owners of the key; an unreadable key with look-alikes is ambiguous, without an owner."""
     c = found.withColumns({"key": F.coalesce(F.col("fields")["key"], F.lit("")), "cited_class": _field("cls"), "state": _field("uf"), "court": _field("court")})
+    c = c.withColumn("inferred", inferred_court(F.col("cited_class"), F.col("key")))
     d = lookup.classify(lookup.owners(c, identifiers))
     lost = (F.col("key") == "") & (F.col("fields")["letters"] != "0")
     path = F.when(lost, "processo:0cand:ocr_ambiguo").when((F.col("path") == "processo:0cand") & (F.col("fields")["letters"] >= "2"), "processo:0cand:ocr_sem_dono").otherwise(F.col("path"))

@@ -65,7 +65,7 @@ def test_split_state(spark, value, rest, state):
 
 
 def test_class_tiers(spark):
-    d = spark.createDataFrame([("RESP", "RESP"), ("RESP", "ARESP"), ("HC", "MS"), (None, "HC")], "a string, b string")
+    d = spark.createDataFrame([("RESP", "RESP"), ("RESP", "RESPE"), ("HC", "MS"), (None, "HC")], "a string, b string")
     assert [r.t for r in d.select(keys.class_tier(F.col("a"), F.col("b")).alias("t")).collect()] == [1, 2, 3, 2]
     assert one(spark, ["AGRG", "RESP", "2O"], keys.main_class, "array<string>") == "RESP"
 
@@ -126,7 +126,7 @@ def test_cascade(spark):
     ]
     got = found(spark, [
         (0, "999", "HC", None, None), (1, "10001", "RESP", "SP", None), (2, "10001", "RESP", "RJ", None), (3, "10001", "RESP", None, "STF"), (4, "10001", "HC", None, None), (5, "10001", "HC", "SP", None),
-        (6, "10002", "MS", None, None), (7, "10002", "RESP", None, "TST"), (8, "10003", "HC", "SP", None), (9, "42", "MS", None, None), (10, "10004", "HC", None, None), (11, "", "HC", None, None), (12, "10001", "ARESP", None, None),
+        (6, "10002", "MS", None, None), (7, "10002", "RESP", None, "TST"), (8, "10003", "HC", "SP", None), (9, "42", "MS", None, None), (10, "10004", "HC", None, None), (11, "", "HC", None, None), (12, "10001", "RESPE", None, None),
     ], records)
     assert got == {
         0: ("inventada", "processo:0cand", None), 1: ("real", "processo:1cand:cadeia_exata", 1), 2: ("inventada", "processo:1cand:uf_incompativel", None), 3: ("inventada", "processo:1cand:tribunal_incompativel", None),
@@ -135,6 +135,18 @@ def test_cascade(spark):
     }
 
 
+@pytest.mark.parametrize("cls,key,court", [("RESP", "123", "STJ"), ("HC", "123", None), ("RESP", "00012345620196260100", "TSE"), ("HC", "00012345620198260100", None), (None, "1", None)])
+def test_inferred_court(spark, cls, key, court):
+    assert spark.createDataFrame([(cls, key)], "c string, k string").select(keys.inferred_court(F.col("c"), F.col("k")).alias("y")).first().y == court
+
+
+def test_inferred_court_eliminates(spark):
+    i = spark.createDataFrame([("a", 1, "10001", "HC", None, "STF"), ("b", 2, "10002", "RESPE", None, "TSE")], "record_id string, canonical_id bigint, key string, own_class string, state string, court string")
+    c = spark.createDataFrame([(0, "10001", "RESP", "STJ"), (1, "10002", "RESP", "STJ")], "cid int, key string, cited_class string, inferred string").withColumns({"state": F.lit(None).cast("string"), "court": F.lit(None).cast("string")})
+    got = {r.cid: r.path for r in lookup.classify(lookup.owners(c, i)).collect()}
+    assert got == {0: "processo:1cand:tribunal_incompativel", 1: "processo:1cand:classe_compativel"}
+
+
 def test_cache(spark):
     cache = spark.createDataFrame([("a", 1)], "cache_key string, answer int")
     q = spark.createDataFrame([("a",), ("b",), ("b",)], "cache_key string")
