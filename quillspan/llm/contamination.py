@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillspan.llm.common import slices, table, text_buffers
+from quillspan.llm.common import slices, table, text_buffers, tidy
 
 WINDOW = 13
 #: A document is contaminated if ``COVERAGE`` times its hit words are at least its words.
@@ -232,7 +232,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     new = StructType.fromDDL("n_words bigint, hit_spans array<struct<first:bigint,last:bigint>>, hit_items array<string>")
     schema = StructType([*out.schema.fields, *new.fields])
     for items in blocks(benchmark, block_bytes):
-        out = out.mapInArrow(_mapper(items, text_col), schema)
+        out = out.mapInArrow(tidy(_mapper(items, text_col)), schema)
     return out
 
 
@@ -272,7 +272,7 @@ def _cutter(text_col: str):
 
 def cut_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of ``find_overlaps`` without the text of their hit spans; what stands between the spans stays as it is."""
-    return found.mapInArrow(_cutter(text_col), found.schema)
+    return found.mapInArrow(tidy(_cutter(text_col)), found.schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import slices, table, text_buffers
+from quillspan.llm.common import slices, table, text_buffers, tidy
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 13
@@ -157,7 +157,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     last = d.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if last is None:
         return fit([])
-    rows = d.where(F.col("h") <= last).mapInArrow(_features, "h bigint, lang string, idx array<int>, share array<float>").orderBy("h", "lang", "idx").limit(sample).collect()
+    rows = d.where(F.col("h") <= last).mapInArrow(tidy(_features), "h bigint, lang string, idx array<int>, share array<float>").orderBy("h", "lang", "idx").limit(sample).collect()
     return fit([(r.lang, np.array(r.idx, np.int64), np.array(r.share, np.float64)) for r in rows if r.idx])
 
 
@@ -190,7 +190,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     languages is ``und`` with score 0 and rejected unless the threshold is 0. Equal
     texts get equal results; of equal scores the first language by name counts.
     """
-    return docs.select("doc_id", "text").mapInArrow(_predictor(model), "doc_id bigint, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_predictor(model)), "doc_id bigint, lang_pred string, score double, rejected boolean")
 
 
 def held_out() -> F.Column:

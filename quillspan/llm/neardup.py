@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import binary_array, gram_hashes, materialise, mix64, run_tables, slices, table, text_buffers, word_bounds, word_hashes
+from quillspan.llm.common import binary_array, gram_hashes, materialise, mix64, run_tables, slices, table, text_buffers, tidy, word_bounds, word_hashes
 from quillspan.llm.components import components
 
 SHINGLE = 5
@@ -261,8 +261,8 @@ def jaccard_links(docs: DataFrame, sent: int = SENT) -> DataFrame:
     with probability 1 - 5e-8, and dropped by the pruning with less than 1e-8.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    proposed = docs.select("text").mapInArrow(_propose, _BUCKETS).repartition("key").sortWithinPartitions("key", "u")
-    edges = materialise(proposed.mapInArrow(_connect, "u binary, v binary"), "proposed")
+    proposed = docs.select("text").mapInArrow(tidy(_propose), _BUCKETS).repartition("key").sortWithinPartitions("key", "u")
+    edges = materialise(proposed.mapInArrow(tidy(_connect), "u binary, v binary"), "proposed")
     near = components(edges)
 
     worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
@@ -279,7 +279,7 @@ def jaccard_links(docs: DataFrame, sent: int = SENT) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("mine", mine)
     pair = F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other"))
     rows = rows.select(pair.alias("key"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "weight", "text")
-    found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_verify, "node binary, links bigint, head binary")
+    found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(_verify), "node binary, links bigint, head binary")
     found = materialise(found, "links")
 
     roots = components(found.select(F.col("node").alias("u"), F.col("head").alias("v")))

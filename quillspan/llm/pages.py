@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import materialise, table
+from quillspan.llm.common import materialise, table, tidy
 
 #: Hosts whose winners are sent to every task (under 20 MB); more are joined.
 SENT_HOSTS = 100_000
@@ -177,7 +177,7 @@ def _prepared(pages: DataFrame) -> DataFrame:
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """host, path, votes: each host's winning path; of equal votes the last path by name. Pages without a url share the empty host."""
-    votes = _prepared(pages).select("host", "html").mapInArrow(_vote, "host string, path string, votes bigint").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    votes = _prepared(pages).select("host", "html").mapInArrow(tidy(_vote), "host string, path string, votes bigint").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     best = votes.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("b"))
     return best.select("host", F.col("b.path").alias("path"), F.col("b.votes").alias("votes"))
 
@@ -192,7 +192,7 @@ def extract_main_text(pages: DataFrame, sent_hosts: int = SENT_HOSTS) -> DataFra
     winners = materialise(host_paths(pages).select("host", "path"), "host-paths")
     few = winners.count() <= sent_hosts
     rows = _prepared(pages).join(F.broadcast(winners) if few else winners, "host", "left")
-    return rows.select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id bigint, url string, text string")
+    return rows.select("page_id", "url", "html", "path").mapInArrow(tidy(_extract), "page_id bigint, url string, text string")
 
 
 def op3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

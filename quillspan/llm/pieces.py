@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillspan.llm.common import slices, table, text_buffers
+from quillspan.llm.common import slices, table, text_buffers, tidy
 
 #: The vocabulary file, read by the driver alone.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-SLICE_TEXT = 4 << 20
+SLICE_TEXT = 2 << 20
 #: Code points that one index holds; a longer single segment has an index of its own.
 INDEX = 1 << 18
 #: Segments from this length on are contracted with a heap.
@@ -327,7 +327,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, col], [*part.schema.names, "ids"])
 
     docs = docs.drop("ids")
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL("ids array<int>").fields]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, *StructType.fromDDL("ids array<int>").fields]))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -339,7 +339,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "decoded"])
 
     encoded = encoded.drop("decoded")
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, *StructType.fromDDL("decoded string").fields]))
+    return encoded.mapInArrow(tidy(run), StructType([*encoded.schema.fields, *StructType.fromDDL("decoded string").fields]))
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,4 +359,4 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, len(texts)), pa.array(np.diff(off)), pa.array(sha), pa.array(back), pa.array(same)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint"), "text")
-    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return docs.mapInArrow(tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean")

@@ -23,12 +23,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillspan.llm.common import materialise, slices, table, text_buffers
+from quillspan.llm.common import materialise, slices, table, text_buffers, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -152,14 +154,14 @@ def _frequencies(wanted: frozenset[str] | None):
 def disclosing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, sent: int = SENT) -> DataFrame:
     """entity, term, pmi, ic: the terms that give a protected value away, from counts over all documents."""
     texts = docs.select("text")
-    pairs = texts.mapInArrow(_mentions, "entity string, term string, n bigint").groupBy("entity", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
+    pairs = texts.mapInArrow(tidy(_mentions), "entity string, term string, n bigint").groupBy("entity", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
     pairs = materialise(pairs, "pairs")
     total = docs.count()
     near = pairs.where("term <> ''")
     terms = near.select("term").distinct()
     few = terms.limit(sent + 1).collect()
     wanted = frozenset(r.term for r in few) if len(few) <= sent else None
-    seen = texts.mapInArrow(_frequencies(wanted), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("nt"))
+    seen = texts.mapInArrow(tidy(_frequencies(wanted)), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("nt"))
     seen = seen if wanted is not None else seen.join(terms, "term", "left_semi")
     own = pairs.where("term = ''").select("entity", F.col("n").alias("ne"))
     j = near.join(own, "entity").join(seen, "term")
@@ -178,18 +180,41 @@ def _term_spans(text: str, spans: list[Span], terms: set[str]) -> list[Span]:
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _finder(known: dict[str, list[str]] | None):
+def _replaced(text: str, spans: list[Span]) -> str:
+    """Each span as its kind in brackets; of spans that overlap the first."""
+    parts, done = [], 0
+    for a, kind, z in spans:
+        if a >= done:
+            parts += [text[done:a], f"[{kind.upper()}]"]
+        done = max(done, z)
+    return "".join(parts) + text[done:]
+
+
+def _finder(known: dict[str, list[str]] | None, replace: bool = False):
+    """Adds pii_spans, or with ``replace`` puts the sanitised text in the text's place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             given = b.column("_terms").to_pylist() if known is None else None
-            out = []
+            out, raw, ends = [], [], [0]
             for k, text, digits in _texts(b):
                 spans = base_spans(text, digits)
                 terms = {t for a, kind, z in spans for t in known.get(_entity(kind, text[a:z]), ())} if known is not None else set(given[k] or ())
                 spans = sorted(spans + _term_spans(text, spans, terms), key=lambda s: (s[0], (*KINDS, TERM).index(s[1])))
-                out.append([{"kind": kind, "start": a, "end": z} for a, kind, z in spans])
-            names = [c for c in b.schema.names if c != "_terms"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, _SPAN)], [*names, "pii_spans"])
+                if replace:
+                    raw.append((_replaced(text, spans) if spans else text).encode())
+                    ends.append(ends[-1] + len(raw[-1]))
+                else:
+                    out.append([{"kind": kind, "start": a, "end": z} for a, kind, z in spans])
+            rest = b.drop_columns(["_terms"]) if "_terms" in b.schema.names else b
+            if replace:
+                old = b.column("text")
+                missing = old.is_null() if old.null_count else None
+                new = pa.Array.from_buffers(pa.large_string(), len(raw), [None, pa.py_buffer(np.array(ends, np.int64).tobytes()), pa.py_buffer(b"".join(raw))])
+                new = pc.if_else(missing, None, new) if missing is not None else new
+                yield rest.set_column(rest.schema.get_field_index("text"), "text", new.cast(pa.string()))
+            else:
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, _SPAN)], [*rest.schema.names, "pii_spans"])
 
     return run
 
@@ -211,44 +236,33 @@ def find_personal_data(docs: DataFrame, sent: int = SENT, **thresholds: float) -
     besides text pass through; one named pii_spans is replaced.
     """
     docs = docs.drop("pii_spans", "_terms")
-    found = disclosing_terms(docs, sent=sent, **thresholds)
     new = StructType.fromDDL("pii_spans array<struct<kind:string,start:bigint,end:bigint>>").fields
-    out = StructType([*docs.schema.fields, *new])
+    return _apply(docs, StructType([*docs.schema.fields, *new]), False, sent, **thresholds)
+
+
+def _apply(docs: DataFrame, schema: StructType, replace: bool, sent: int, **thresholds: float) -> DataFrame:
+    found = disclosing_terms(docs, sent=sent, **thresholds)
     few = found.select("entity", "term").limit(sent + 1).collect()
     if len(few) <= sent:
         known: dict[str, list[str]] = {}
         for r in few:
             known.setdefault(r.entity, []).append(r.term)
-        return docs.mapInArrow(_finder(known), out)
+        return docs.mapInArrow(tidy(_finder(known, replace)), schema)
     key = F.sha2(F.coalesce("text", F.lit("")), 256)
-    values = docs.select(key.alias("_text_id"), "text").mapInArrow(_values, "_text_id string, entity string").distinct()
+    values = docs.select(key.alias("_text_id"), "text").mapInArrow(tidy(_values), "_text_id string, entity string").distinct()
     terms = values.join(found, "entity").groupBy("_text_id").agg(F.collect_set("term").alias("_terms"))
     joined = docs.withColumn("_text_id", key).join(terms, "_text_id", "left").drop("_text_id")
-    return joined.mapInArrow(_finder(None), out)
+    return joined.mapInArrow(tidy(_finder(None, replace)), schema)
 
 
-def _sanitiser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts, spans = b.column("text").to_pylist(), b.column("pii_spans").to_pylist()
-        for i, s in enumerate(spans):
-            if s:
-                parts, done = [], 0
-                for x in s:
-                    if x["start"] >= done:
-                        parts += [texts[i][done : x["start"]], f"[{x['kind'].upper()}]"]
-                    done = max(done, x["end"])
-                texts[i] = "".join(parts) + texts[i][done:]
-        yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-
-
-def sanitise(found: DataFrame) -> DataFrame:
-    """Rows of ``find_personal_data`` with each span generalised to its kind in brackets; spans that overlap become the first one's."""
-    return found.mapInArrow(_sanitiser, found.schema)
-
-
-def sanitised(docs: DataFrame) -> DataFrame:
-    """All rows of ``docs`` with their personal data generalised; n_chars, where there is one, follows the text."""
-    out = sanitise(find_personal_data(docs)).drop("pii_spans")
+def sanitised(docs: DataFrame, sent: int = SENT, **thresholds: float) -> DataFrame:
+    """All rows of ``docs`` with each span of ``find_personal_data`` generalised to its kind in brackets.
+
+    Of spans that overlap the first is named. A null text stays null. n_chars,
+    where there is one, follows the text; a column named _terms is dropped.
+    """
+    docs = docs.drop("_terms")
+    out = _apply(docs, docs.schema, True, sent, **thresholds)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import SLICE_BYTES, binary_array, gram_hashes, mix64, run_tables, slices, table, text_buffers, word_bounds, word_hashes
+from quillspan.llm.common import binary_array, gram_hashes, mix64, run_tables, SLICE_BYTES, slices, table, text_buffers, tidy, word_bounds, word_hashes
 
 LENGTH = 20
 SEED = 6
@@ -152,8 +152,8 @@ def repeat_spans(docs: DataFrame) -> DataFrame:
     different texts under one doc_id the one with the smaller mark is the earlier.
     """
     d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("doc_id"), _mark().alias("mark"), "text")
-    seeds = d.mapInArrow(_find, _SEEDS)
-    return seeds.repartition("key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(_extend, _SPANS)
+    seeds = d.mapInArrow(tidy(_find), _SEEDS)
+    return seeds.repartition("key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(tidy(_extend), _SPANS)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +187,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spans = spans.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "spans")
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.join(spans, (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("_d")) & (_mark() == F.col("_m")), "left")
-    return d.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id bigint, n_words bigint, n_removed bigint, text string")
+    return d.select("doc_id", "text", "spans").mapInArrow(tidy(_cut), "doc_id bigint, n_words bigint, n_removed bigint, text string")
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
