@@ -15,10 +15,16 @@ payload of its own and names the response that it refers to.
 
 from __future__ import annotations
 
+import gzip
+import re
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import shared_dir, table
+from quillspan.llm.common import shared_dir, table, tidy
 
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -111,6 +117,51 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return h.join(facts, "payload_sha256").select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
+def parse_records(raw: bytes) -> Iterator[tuple[int, bytes, bytes]]:
+    """Offset, header block and content of the records of a WARC file, plain or gzipped member by member; a cut-off last record is left out."""
+    if raw[:2] == b"\x1f\x8b":
+        parts = []
+        while raw:
+            member = zlib.decompressobj(31)
+            try:
+                parts.append(member.decompress(raw) + member.flush())
+            except zlib.error:
+                break
+            raw = member.unused_data
+        raw = b"".join(parts)
+    at = 0
+    while True:
+        while raw[at : at + 2] == b"\r\n":
+            at += 2
+        end = raw.find(b"\r\n\r\n", at)
+        if end < 0 or raw[at : at + 5] != b"WARC/":
+            return
+        size = re.search(rb"(?im)^content-length:\s*([0-9]+)\s*$", raw[at:end])
+        content = end + 4
+        if not size or content + int(size[1]) > len(raw):
+            return
+        yield at, raw[at:content], raw[content : content + int(size[1])]
+        at = content + int(size[1])
+
+
+def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, offset, header, content of every record of the WARC files at ``path``; a file is one task's, so its size bounds memory (Spark reads files up to 2 GB)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, raw in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                for at, header, content in parse_records(raw.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int64()), pa.array([header], pa.binary()), pa.array([content], pa.binary())], ["path", "offset", "header", "content"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(tidy(run), "path string, offset bigint, header binary, content binary")
+
+
+def gzip_member(record: bytes) -> bytes:
+    """A record as a gzip member; members one after the other are a .warc.gz file."""
+    return gzip.compress(record, mtime=0)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
