@@ -269,9 +269,12 @@ def jaccard_links(docs: DataFrame, sent: int = SENT) -> DataFrame:
     members = materialise(docs.select("doc_id", F.when(worded, _digest()).alias("node"), F.octet_length("text").alias("bytes")), "members")
     texts = members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("weight"), F.first("bytes").alias("bytes"))
     texts = materialise(texts, "texts")
-    asked = near.join(texts, "node")
-    sizes = asked.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    asked = materialise(asked.join(sizes, "root").select("node", "root", "first_id", "weight", "blocks"), "asked")
+    asked = materialise(near.join(texts, "node").select("node", "root", "first_id", "weight", "bytes"), "asked")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    # only large components are cut, and their sizes are a written table: a join with it can be split at a large one
+    cut = materialise(asked.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1"), "blocks")
+    asked = asked.join(_sent(cut, sent), "root", "left").select("node", "root", "first_id", "weight", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    asked = materialise(asked, "asked")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = docs.where(worded).select(F.col("doc_id").alias("first_id"), _digest().alias("node"), "text")
     # a first_id that is null or stands for several rows of one text must still give one row: the digest decides
@@ -286,8 +289,9 @@ def jaccard_links(docs: DataFrame, sent: int = SENT) -> DataFrame:
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     info = texts.join(links, "node", "left").join(roots, "node", "left").where("weight > 1 OR root IS NOT NULL")
     info = info.select("node", "first_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("root", "node").alias("root"))
-    first = info.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    info = materialise(info.join(first, "root").select("node", "class_id", "links"), "classes")
+    info = materialise(info, "linked")
+    first = materialise(info.groupBy("root").agg(F.min("first_id").alias("class_id")), "first")
+    info = materialise(info.join(_sent(first, sent), "root").select("node", "class_id", "links"), "classes")
     out = members.select("doc_id", "node").join(_sent(info, sent), "node", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"))
 
