@@ -174,7 +174,9 @@ def test_lookup_keys(spark):
     assert one(spark, "", calibration.lookup_keys) == []
 
 
-def test_confidence(spark):
+@pytest.mark.parametrize("literal", [500, 0])
+def test_confidence(spark, monkeypatch, literal):
+    monkeypatch.setattr(calibration.value_of, "__defaults__", (literal,))
     table = spark.createDataFrame([("a", 0.8), ("a:b:amplo", 0.4), ("n", float("nan")), ("z", 5.0)], "path string, confidence double")
     d = spark.createDataFrame([("a:x", 1.0), ("a:x", 0.5), ("a:b:amplo", 0.5), ("q", 1.0), ("n", 1.0), ("z", 1.0), ("i:j", 1.0)], "path string, strength double")
     initial = spark.createDataFrame([("i", 0.6)], "path string, confidence double")
