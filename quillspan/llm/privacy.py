@@ -2,23 +2,31 @@
 
 Base spans (e-mail addresses, IP addresses, card and telephone numbers) are found
 by rule. Then the corpus tells which further terms give a protected value away:
-with N documents, n(e) that have the value e, n(t) that have the term t and
-n(e, t) where t stands near e,
-
-    PMI(e; t) = log(n(e, t) N / (n(e) n(t))),   IC(e) = log(N / n(e)).
-
-A term that carries at least ``DISCLOSURE`` of a value's information content, seen
-with it in ``SUPPORT`` documents or more, is a span of its own wherever it stands
-in a document with that value, and is generalised like the base spans.
-
-Scale: pairs come from a window of ``NEAR`` words on both sides of a value, so
-their number follows the mentions; counts are combined before they are shuffled.
-Texts are never shuffled while the disclosing pairs are few (a checked bound);
-beyond it they are joined.
+with N documents, n(e) that have the value e, n(t) that have the term t outside
+of base spans and n(e, t) that have both,
+
+    PMI(e; t) = log(n(e, t) N / (n(e) (n(t) + 1))),   IC(e) = log(N / n(e)).
+
+The 1 is a document with t and without e that the corpus may have missed: it takes
+the place of a least number of documents, so that what is seen once counts as far
+as the corpus is large enough. A term that carries at least ``DISCLOSURE`` of a
+value's information content is a span of its own wherever it stands in a document
+with that value, and is generalised like the base spans.
+
+Terms are words of letters and digits, and two words next to each other that are
+a name or a number (both start with a capital or a digit, one blank between) or
+parts of an identifier (joined by one of ``./:_-``, a digit in one of them).
+
+Scale: counts are combined before they are shuffled. A document gives a row for
+each of its values with each of its terms, so a document with very many of both
+costs their product (rows leave in parts, memory stays bounded). Texts are never
+shuffled while the disclosing pairs are few (a checked bound); beyond it those
+that hold a value are joined, the others are not.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,11 +42,11 @@ from quillspan.llm.common import materialise, slices, table, text_buffers, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-NEAR = 10
-SUPPORT = 3
 DISCLOSURE = 0.9
-#: Candidate terms and disclosing pairs up to this number go to every task (about 10 MB); more are joined.
+#: Disclosing pairs up to this number go to every task (about 10 MB); more are joined.
 SENT = 100_000
+#: Counts that a task holds before it passes them on.
+HELD = 1 << 18
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,7 +54,9 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W_]+")
+_NAME = re.compile(r"(?<![^\W_])(?=([^\W_a-z][^\W_]*\x20[^\W_a-z][^\W_]*))")
+_PART = re.compile(r"(?<![^\W_])(?=([^\W_]+[./:_-][^\W_]+))")
 _NOT_DIGITS = bytes(b for b in range(256) if not 48 <= b <= 57)
 
 Span = tuple[int, str, int]
@@ -100,81 +110,87 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else re.sub('[^0-9.]', '', value) if kind == 'ip' else re.sub('[^0-9]', '', value)}"
 
 
-def _near(text: str, spans: list[Span], start: int, end: int) -> set[str]:
-    """Terms among the ``NEAR`` words before and after a span, outside all spans."""
-    taken = [(a, b) for a, _, b in spans]
-    out: set[str] = set()
-    width = NEAR * 24
-    while True:  # wider until it has enough words or the whole side
-        left = [m for m in _TERM.finditer(text, max(0, start - width), start) if not any(a < m.end() and m.start() < b for a, b in taken)]
-        if len(left) > NEAR or start <= width:
-            break
-        width *= 4
-    out.update(m[0].lower() for m in left[-NEAR:])
-    n = 0
-    for m in _TERM.finditer(text, end):
-        if not any(a < m.end() and m.start() < b for a, b in taken):
-            out.add(m[0].lower())
-            n += 1
-            if n == NEAR:
-                break
-    return out
+def _start(c: str) -> bool:
+    return c.isupper() or c.isdigit()
+
+
+def _phrases(text: str, digits: bool) -> Iterator[tuple[int, int]]:
+    for m in _NAME.finditer(text):
+        if _start(m[1][0]) and _start(m[1][m[1].index(" ") + 1]):
+            yield m.span(1)
+    if digits:
+        for m in _PART.finditer(text):
+            if any(c.isdigit() for c in m[1]):
+                yield m.span(1)
 
 
-def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """entity, term, n: documents that have both, combined over a batch; an empty term counts the entity itself."""
+def _terms(text: str, spans: list[Span], digits: bool) -> set[str]:
+    """Terms outside all spans, in lower case."""
+    if not spans:
+        return {*map(str.lower, set(_WORD.findall(text))), *(text[a:z].lower() for a, z in _phrases(text, digits))}
+    return {text[a:z].lower() for a, z in _outside(text, spans, digits)}
+
+
+def _outside(text: str, spans: list[Span], digits: bool) -> Iterator[tuple[int, int]]:
+    """Start and end of the terms outside all spans."""
+    taken = bytearray(len(text))
+    for a, _, z in spans:
+        taken[a:z] = b"\1" * (z - a)
+    for a, z in (*(m.span() for m in _WORD.finditer(text)), *_phrases(text, digits)):
+        if taken.find(1, a, z) < 0:
+            yield a, z
+
+
+def _rows(count: Counter[tuple[str, str]]) -> pa.RecordBatch:
+    e, t = zip(*count, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(e, pa.string()), pa.array(t, pa.string()), pa.array(list(count.values()), pa.int64())], ["entity", "term", "n"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """entity, term, n: documents that have both; an empty term counts the entity itself, an empty entity the term."""
     for b in batches:
         count: Counter[tuple[str, str]] = Counter()
         for _, text, digits in _texts(b):
             spans = base_spans(text, digits)
-            seen: set[tuple[str, str]] = set()
-            for start, kind, end in spans:
-                e = _entity(kind, text[start:end])
-                seen.add((e, ""))
-                seen.update((e, t) for t in _near(text, spans, start, end))
-            count.update(seen)
+            terms = _terms(text, spans, digits)
+            for e in ("", *{_entity(kind, text[a:z]) for a, kind, z in spans}):
+                count.update((e, t) for t in terms)
+                if e:
+                    count[e, ""] += 1
+                if len(count) >= HELD:
+                    yield _rows(count)
+                    count.clear()
         if count:
-            e, t = zip(*count, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(e, pa.string()), pa.array(t, pa.string()), pa.array(list(count.values()), pa.int64())], ["entity", "term", "n"])
-
+            yield _rows(count)
 
-def _frequencies(wanted: frozenset[str] | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            count: Counter[str] = Counter()
-            for _, text, _ in _texts(b):
-                terms = set(_TERM.findall(text.lower()))
-                count.update(terms if wanted is None else terms & wanted)
-            if count:
-                yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
-
-    return run
 
-
-def disclosing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, sent: int = SENT) -> DataFrame:
+def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """entity, term, pmi, ic: the terms that give a protected value away, from counts over all documents."""
-    texts = docs.select("text")
-    pairs = texts.mapInArrow(tidy(_mentions), "entity string, term string, n bigint").groupBy("entity", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
-    pairs = materialise(pairs, "pairs")
+    counts = docs.select("text").mapInArrow(tidy(_counts), "entity string, term string, n bigint").groupBy("entity", "term").agg(F.sum("n").alias("n"))
     total = docs.count()
-    near = pairs.where("term <> ''")
-    terms = near.select("term").distinct()
-    few = terms.limit(sent + 1).collect()
-    wanted = frozenset(r.term for r in few) if len(few) <= sent else None
-    seen = texts.mapInArrow(tidy(_frequencies(wanted)), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("nt"))
-    seen = seen if wanted is not None else seen.join(terms, "term", "left_semi")
-    own = pairs.where("term = ''").select("entity", F.col("n").alias("ne"))
+    counts = materialise(counts, "counts")
+    own = counts.where("entity <> '' AND term = ''").select("entity", F.col("n").alias("ne"))
+    seen = counts.where("entity = ''").select("term", F.col("n").alias("nt"))
+    near = counts.where("entity <> '' AND term <> ''")
+    # n(e, t) <= n(e), so a disclosing term has n(t) + 1 <= n(e)^d N^(1 - d): the others need no join
+    most = own.agg(F.max("ne")).first()[0] or 0
+    seen = seen.where(F.col("nt") <= most**disclosure * max(total, 1) ** (1 - disclosure) + 1)
+    pmi = F.log2(F.col("n") * F.lit(float(total)) / (F.col("ne") * (F.col("nt") + 1)))
     j = near.join(own, "entity").join(seen, "term")
-    pmi = F.log2(F.col("n") * F.lit(float(total)) / (F.col("ne") * F.col("nt")))
     j = j.select("entity", "term", pmi.alias("pmi"), F.log2(F.lit(float(total)) / F.col("ne")).alias("ic"))
     return materialise(j.where((F.col("ic") > 0) & (F.col("pmi") >= disclosure * F.col("ic"))), "disclosing")
 
 
-def _term_spans(text: str, spans: list[Span], terms: set[str]) -> list[Span]:
-    low = text.lower() if terms else ""
-    if not any(t in low for t in terms):
-        return []
-    return [(m.start(), TERM, m.end()) for m in _TERM.finditer(text) if m[0].lower() in terms and not any(a < m.end() and m.start() < b for a, _, b in spans)]
+def _term_spans(text: str, spans: list[Span], terms: set[str], digits: bool) -> list[Span]:
+    """Occurrences of ``terms`` outside ``spans``; those that overlap are one."""
+    out: list[Span] = []
+    if terms:
+        for a, z in sorted(x for x in _outside(text, spans, digits) if text[x[0] : x[1]].lower() in terms):
+            if out and a < out[-1][2]:
+                out[-1] = (out[-1][0], TERM, max(z, out[-1][2]))
+            else:
+                out.append((a, TERM, z))
+    return out
 
 
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -190,7 +206,7 @@ def _replaced(text: str, spans: list[Span]) -> str:
     return "".join(parts) + text[done:]
 
 
-def _finder(known: dict[str, list[str]] | None, replace: bool = False):
+def _finder(known: dict[str, set[str]] | None, replace: bool = False):
     """Adds pii_spans, or with ``replace`` puts the sanitised text in the text's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +216,7 @@ def _finder(known: dict[str, list[str]] | None, replace: bool = False):
             for k, text, digits in _texts(b):
                 spans = base_spans(text, digits)
                 terms = {t for a, kind, z in spans for t in known.get(_entity(kind, text[a:z]), ())} if known is not None else set(given[k] or ())
-                spans = sorted(spans + _term_spans(text, spans, terms), key=lambda s: (s[0], (*KINDS, TERM).index(s[1])))
+                spans = sorted(spans + _term_spans(text, spans, terms, digits), key=lambda s: (s[0], (*KINDS, TERM).index(s[1])))
                 if replace:
                     raw.append((_replaced(text, spans) if spans else text).encode())
                     ends.append(ends[-1] + len(raw[-1]))
@@ -219,12 +235,30 @@ def _finder(known: dict[str, list[str]] | None, replace: bool = False):
     return run
 
 
-def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _text_id(text: str) -> bytes:
+    return hashlib.sha256(text.encode()).digest()
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds _text_id, null where the text has no protected value."""
     for b in batches:
-        rows = [(k, e) for k, text, digits in _texts(b) for e in {_entity(kind, text[a:z]) for a, kind, z in base_spans(text, digits)}]
-        if rows:
-            at, e = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([b.column("_text_id").take(pa.array(at)), pa.array(e, pa.string())], ["_text_id", "entity"])
+        ids = [_text_id(text) if base_spans(text, digits) else None for _, text, digits in _texts(b)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], [*b.schema.names, "_text_id"])
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_text_id, entity, term: the values of each text with its terms."""
+    names = ["_text_id", "entity", "term"]
+    for b in batches:
+        done: set[bytes] = set()
+        for _, text, digits in _texts(b):
+            spans = base_spans(text, digits)
+            if not spans or (key := _text_id(text)) in done:
+                continue
+            done.add(key)
+            terms = pa.array(list(_terms(text, spans, digits)), pa.string())
+            for e in {_entity(kind, text[a:z]) for a, kind, z in spans} if len(terms) else ():
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(key, pa.binary()), len(terms)), pa.repeat(e, len(terms)), terms], names)
 
 
 def find_personal_data(docs: DataFrame, sent: int = SENT, **thresholds: float) -> DataFrame:
@@ -235,33 +269,36 @@ def find_personal_data(docs: DataFrame, sent: int = SENT, **thresholds: float) -
     and repeated rows need no rule; an empty table gives an empty one. Columns
     besides text pass through; one named pii_spans is replaced.
     """
-    docs = docs.drop("pii_spans", "_terms")
+    docs = docs.drop("pii_spans", "_terms", "_text_id")
     new = StructType.fromDDL("pii_spans array<struct<kind:string,start:bigint,end:bigint>>").fields
     return _apply(docs, StructType([*docs.schema.fields, *new]), False, sent, **thresholds)
 
 
 def _apply(docs: DataFrame, schema: StructType, replace: bool, sent: int, **thresholds: float) -> DataFrame:
-    found = disclosing_terms(docs, sent=sent, **thresholds)
-    few = found.select("entity", "term").limit(sent + 1).collect()
+    found = disclosing_terms(docs, **thresholds).select("entity", "term")
+    few = found.limit(sent + 1).collect()
     if len(few) <= sent:
-        known: dict[str, list[str]] = {}
+        known: dict[str, set[str]] = {}
         for r in few:
-            known.setdefault(r.entity, []).append(r.term)
+            known.setdefault(r.entity, set()).add(r.term)
         return docs.mapInArrow(tidy(_finder(known, replace)), schema)
-    key = F.sha2(F.coalesce("text", F.lit("")), 256)
-    values = docs.select(key.alias("_text_id"), "text").mapInArrow(tidy(_values), "_text_id string, entity string").distinct()
-    terms = values.join(found, "entity").groupBy("_text_id").agg(F.collect_set("term").alias("_terms"))
-    joined = docs.withColumn("_text_id", key).join(terms, "_text_id", "left").drop("_text_id")
-    return joined.mapInArrow(tidy(_finder(None, replace)), schema)
+    held = docs.select("text").mapInArrow(tidy(_held), "_text_id binary, entity string, term string")
+    terms = held.join(found, ["entity", "term"], "left_semi").groupBy("_text_id").agg(F.collect_set("term").alias("_terms"))
+    marked = docs.mapInArrow(tidy(_marked), StructType([*docs.schema.fields, *StructType.fromDDL("_text_id binary").fields]))
+    joined = marked.where("_text_id IS NOT NULL").join(terms, "_text_id", "left").drop("_text_id").mapInArrow(tidy(_finder(None, replace)), schema)
+    rest = marked.where("_text_id IS NULL").drop("_text_id")
+    if not replace:
+        rest = rest.withColumn("pii_spans", F.array().cast(schema["pii_spans"].dataType))
+    return joined.unionByName(rest)
 
 
 def sanitised(docs: DataFrame, sent: int = SENT, **thresholds: float) -> DataFrame:
     """All rows of ``docs`` with each span of ``find_personal_data`` generalised to its kind in brackets.
 
     Of spans that overlap the first is named. A null text stays null. n_chars,
-    where there is one, follows the text; a column named _terms is dropped.
+    where there is one, follows the text; columns named _terms and _text_id are dropped.
     """
-    docs = docs.drop("_terms")
+    docs = docs.drop("_terms", "_text_id")
     out = _apply(docs, docs.schema, True, sent, **thresholds)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 

@@ -270,6 +270,19 @@ def test_disclosure(spark):
         assert clean[0] == "the [TERM] by [TERM] [TERM] [EMAIL] [TERM] the weather 0" and clean[10] == docs[10][1] and clean[60] == "only once [IP] rare"
 
 
+def test_disclosure_of_rare_values(spark):
+    """Values of one or two documents, far terms, identifiers and names: enough documents stand in for support."""
+    docs = [(i, f"Ana Costa met Rui Silva by the sea on day {i % 50}") for i in range(1500)]
+    far = " ".join(["the sea"] * 40)
+    docs += [(1500, f"x9-77k {far} a@b.cd {far} kappa Rui Costa"), (1501, f"sigma {far} c@d.ef"), (1502, f"c@d.ef {far} sigma on day 7")]
+    for sent in (privacy.SENT, 0):
+        out = privacy.find_personal_data(spark.createDataFrame(docs, DOCS), sent=sent)
+        spans = {r.doc_id: [(s.kind, docs[r.doc_id][1][s.start : s.end]) for s in r.pii_spans] for r in out.collect()}
+        assert spans[1500] == [("term", "x9-77k"), ("email", "a@b.cd"), ("term", "kappa"), ("term", "Rui Costa")]
+        assert spans[1501] == [("term", "sigma"), ("email", "c@d.ef")] and spans[1502] == [("email", "c@d.ef"), ("term", "sigma")]
+        assert not any(spans[i] for i in range(1500))
+
+
 def test_privacy_edges(spark):
     assert all(r.pii_spans == [] for r in privacy.find_personal_data(edge_docs(spark)).collect())
     assert privacy.find_personal_data(empty(spark)).count() == 0
