@@ -92,11 +92,11 @@ def _seeds(doc: np.ndarray, mark: np.ndarray, data: np.ndarray, off: np.ndarray)
     c = np.flatnonzero(first == mine)
     a = anchor[c]
     i, n = _runs(np.concatenate(([True], (np.diff(at[c]) != 1) | (np.diff(own[c]) != 0) | (np.diff(a) != 0))))
-    prints = (whole[c] >> np.uint64(32)).astype("<u4")
+    prints = whole[c].astype("<u8")
     i0 = c[i]
     place = (mark[own[i0]] << _MARK) | (at[i0] << _FIRST) | ((a[i] - w[i0]) << _OFFSET) | n
-    off4 = np.concatenate(([0], np.cumsum(n) * 4))
-    yield _batch(seeds[a[i]], doc[own[i0]], place, np.zeros(len(i)), binary_array(prints.tobytes(), off4))
+    off8 = np.concatenate(([0], np.cumsum(n) * 8))
+    yield _batch(seeds[a[i]], doc[own[i0]], place, np.zeros(len(i)), binary_array(prints.tobytes(), off8))
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = np.flatnonzero(~passed)
         if len(r):
             prints, _ = text_buffers(t.column("prints").combine_chunks())
-            prints = prints.view("<u4").astype(np.uint64)
+            prints = prints.view("<u8").astype(np.uint64)
             many = place[r] & 15
             row = np.repeat(r, many)
             step = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)

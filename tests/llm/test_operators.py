@@ -142,6 +142,26 @@ def test_substrings_repeated_rows(spark):
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 30)]
 
 
+def test_substrings_windows_of_one_anchor(spark):
+    """Two windows that share their anchor, its offset and half of their hash are still different."""
+    import numpy as np
+
+    def hashes(texts, k):
+        data = " ".join(texts).encode()
+        starts, ends, _ = common.word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        return common.gram_hashes(common.word_hashes(np.frombuffer(data, np.uint8), starts, ends), k)
+
+    runs = [f"a{i} b c d e f" for i in range(40_000)]
+    head = runs[int(np.argmin(hashes(runs, substrings.SEED)[:: substrings.SEED]))]
+    windows = [head + " g h i j k l m n o p q r s" + f" x{i}" for i in range(300_000)]
+    half = hashes(windows, substrings.LENGTH)[:: substrings.LENGTH] >> np.uint64(32)
+    order = np.argsort(half, kind="stable")
+    i = int(np.flatnonzero(half[order][1:] == half[order][:-1])[0])
+    rows = [(0, windows[order[i]]), (1, windows[order[i + 1]]), (2, windows[order[i]])]
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {0: 0, 1: 0, 2: 20}
+
+
 # --- 3 ----------------------------------------------------------------------
 
 PAGES = "page_id bigint, url string, html string"
