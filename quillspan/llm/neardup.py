@@ -217,7 +217,7 @@ class _Group:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, links, head from rows sorted by their group; a group is a whole component, a block or two blocks."""
+    """node, links, head from rows sorted by their group; a group is a whole component or a block (side 2), or two blocks (0 and 1; one may be empty)."""
     for t in run_tables(batches, "key"):
         key, side, weight = (t.column(c).to_numpy() for c in ("key", "side", "weight"))
         data, off = text_buffers(t.column("text"))
@@ -233,9 +233,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in zip(first[g:h] - i, last[g:h] - i, strict=True):
                 group = _Group(sets[a:b], mins[a:b], weight[i + a : i + b])
                 s = side[i + a : i + b]
-                left, right = np.flatnonzero(s == 0), np.flatnonzero(s == 1)
-                for n, x in enumerate(left.tolist()):
-                    group.compare(x, right if len(right) else left[n + 1 :])
+                left, right, own = (np.flatnonzero(s == x) for x in (0, 1, 2))
+                for x in left.tolist() if len(right) else ():
+                    group.compare(x, right)
+                for n, x in enumerate(own.tolist()):
+                    group.compare(x, own[n + 1 :])
                 heads[a:b] = [group.find(x) + a for x in range(b - a)]
                 links[a:b] = group.links
             yield pa.RecordBatch.from_arrays([node.slice(i, j - i), pa.array(links), node.slice(i, j - i).take(pa.array(heads))], ["node", "links", "head"])
@@ -277,11 +279,11 @@ def jaccard_links(docs: DataFrame, sent: int = SENT) -> DataFrame:
     asked = materialise(asked, "asked")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = docs.where(worded).select(F.col("doc_id").alias("first_id"), _digest().alias("node"), "text")
-    # a first_id that is null or stands for several rows of one text must still give one row: the digest decides
-    rows = rows.withColumn("first_id", F.coalesce("first_id", F.lit(-(2**63)))).join(_sent(asked.withColumn("first_id", F.coalesce("first_id", F.lit(-(2**63)))), sent), ["first_id", "node"])
+    # a first_id that is null or stands for several rows of one text must still give one row: one for each digest is kept
+    rows = rows.withColumn("first_id", F.coalesce("first_id", F.lit(-(2**63)))).join(_sent(asked.withColumn("first_id", F.coalesce("first_id", F.lit(-(2**63)))), sent), ["first_id", "node"]).dropDuplicates(["node"])
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("mine", mine)
     pair = F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other"))
-    rows = rows.select(pair.alias("key"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "weight", "text")
+    rows = rows.select(pair.alias("key"), F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"), "node", "weight", "text")
     found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(_verify), "node binary, links bigint, head binary")
     found = materialise(found, "links")
 

@@ -93,6 +93,23 @@ def test_jaccard_brute_force(spark, monkeypatch, block):
     assert got == neardup.brute_force(rows)
 
 
+def test_jaccard_empty_blocks(spark, monkeypatch):
+    """Near copies in one block, beside blocks that stay empty, count once."""
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 1)
+    texts = [" ".join(f"g{g}w{i}" for i in range(60)) for g in range(12)]
+    rows = [(2 * g + i, t + " end" * i) for g, t in enumerate(texts) for i in range(2)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.jaccard_links(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == neardup.brute_force(rows) and {n for _, n in got.values()} == {1}
+
+
+def test_jaccard_repeated_rows(spark):
+    """Rows of one id and text count each, also with a near copy."""
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(5, x), (5, x), (6, x + " end"), (None, y), (None, y), (7, y + " end"), (8, z), (8, z)]
+    got = sorted((r.doc_id or 0, r.class_id, r.n_links) for r in neardup.jaccard_links(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(0, 7, 2), (0, 7, 2), (5, 5, 2), (5, 5, 2), (6, 5, 2), (7, 7, 2), (8, 8, 1), (8, 8, 1)]
+
+
 def test_jaccard_edges(spark):
     got = sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in neardup.jaccard_links(edge_docs(spark)).collect())
     assert got == [(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 1), (5, 5, 1), (6, 6, 1), (7, 6, 1)]
