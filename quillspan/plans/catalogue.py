@@ -116,6 +116,13 @@ def accent_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.text_key(F.substring(F.coalesce("text", F.lit("")), 1, 200)).alias("key"))
 
 
+@query("SELECT doc_id, length(key)::INT AS n, sha256(key) AS key_sha256 FROM (SELECT doc_id, regexp_replace(trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 'ß', 'ß', 'g') AS key FROM documents)")
+def accent_key_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of the whole text, by its length and hash; ``accent_key`` shows keys of 200 characters."""
+    key = text.text_key(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(key).alias("n"), F.sha2(key, 256).alias("key_sha256"))
+
+
 _WORDS = "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part"
 
 
