@@ -133,6 +133,14 @@ def edit_distance_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("a", "b", F.levenshtein("a", "b", 4).alias("edits")).where("edits >= 0")
 
 
+@query(f"""WITH w AS ({_WORDS}) SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w)::INT AS edits FROM w a JOIN w b ON a.w < b.w WHERE levenshtein(a.w, b.w) <= 4""")
+def edit_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of the closed word list; ``edit_distance_names`` has those of one first letter."""
+    w = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    j = w.select(F.col("w").alias("a")).join(F.broadcast(w.select(F.col("w").alias("b"))), F.col("a") < F.col("b"))
+    return j.select("a", "b", F.levenshtein("a", "b", 4).alias("edits")).where("edits >= 0")
+
+
 _NEAR = "list_bool_and([list_bool_or([x = y OR (least(length(x), length(y)) >= 5 AND levenshtein(x, y) = 1) FOR y IN {b}]) FOR x IN {a}])"
 
 
@@ -147,6 +155,19 @@ def token_array_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cited.join(F.broadcast(own)).select("p_partkey", F.array_join("w", " ").alias("cited"), keys.all_near(F.col("w"), F.col("own")).alias("near"))
 
 
+@query(f"""WITH c AS (SELECT DISTINCT string_split(p_name, ' ') AS w FROM part), o AS (SELECT p_partkey, [w, reverse(w), replace(w, 'i', 'l')] AS own FROM (SELECT p_partkey, string_split(p_name, ' ')[1] AS w FROM part))
+ SELECT p_partkey, array_to_string(w, ' ') AS cited, {_NEAR.format(a="w", b="own")} AS near FROM c, o""")
+def token_array_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts: each distinct word against each distinct name once, joined back; ``token_array_match`` shows 49 parts."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
+    first = p.select("p_partkey", F.get("w", F.lit(0)).alias("first"))
+    own = F.array("first", F.reverse("first"), F.replace("first", F.lit("i"), F.lit("l")))
+    # both sides are closed lists of words
+    pairs = p.select("w").distinct().join(F.broadcast(first.select("first").distinct()))
+    near = pairs.select("first", F.array_join("w", " ").alias("cited"), keys.all_near(F.col("w"), own).alias("near"))
+    return first.join(near, "first").select("p_partkey", "cited", "near")
+
+
 # --- lookups -----------------------------------------------------------------
 
 

@@ -21,3 +21,12 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_all_parts_and_words(spark, tmp_path):
+    rows_ = [(1, "green green"), (70, "green greed"), (71, "olive fern"), (72, "plive fern")]
+    spark.createDataFrame(rows_, "p_partkey bigint, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    near = {(r.p_partkey, r.cited) for r in catalogue.QUERIES["token_array_match_all"](spark, str(tmp_path)).collect() if r.near}
+    assert near == {(k, c) for k in (1, 70) for c in ("green green", "green greed")}
+    edits = {(r.a, r.b): r.edits for r in catalogue.QUERIES["edit_distance_all"](spark, str(tmp_path)).collect()}
+    assert edits["olive", "plive"] == 1 and edits["greed", "green"] == 1
