@@ -563,8 +563,8 @@ def cite_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synth_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspan.operators import synth
 
-    known = table(spark, sf_dir, "orders").count()
-    d = synth.generate(spark, 200, known, level=2)
+    known, n_docs = table(spark, sf_dir, "orders").count(), table(spark, sf_dir, "documents").count()
+    d = synth.generate(spark, n_docs, known, level=2)
     return d.select("doc_id", F.length("text").alias("n_chars"), F.size("gold").alias("n_gold"))
 
 
@@ -573,8 +573,8 @@ def detect_all_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Found spans against the gold of generated documents: matched, missed and additional ones by label."""
     from quillspan.operators import detect, synth
 
-    known = table(spark, sf_dir, "orders").count()
-    d = synth.generate(spark, 200, known, level=2)
+    known, n_docs = table(spark, sf_dir, "orders").count(), table(spark, sf_dir, "documents").count()
+    d = synth.generate(spark, n_docs, known, level=2)
     found = detect.detect(d.select("doc_id", "text")).withColumn("p", F.concat("family", F.lit(":"), "first"))
     gold = d.select("doc_id", F.inline("gold")).withColumn("g", F.col("first").cast("string"))
     m = spans.align(gold, found)
@@ -628,6 +628,24 @@ def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.leaks(table(spark, sf_dir, "documents"), f)
 
 
+_RUNS = """SELECT DISTINCT array_to_string(l[i:i+least(len(l), 6)-1], ' ') AS literal, least(len(l), 6) AS k FROM (SELECT l, unnest(range(1, greatest(len(l) - 5, 1) + 1)) AS i FROM (SELECT list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS l FROM benchmark) WHERE len(l) > 0)"""
+
+
+@query(f"""WITH f AS ({_RUNS}), d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS l FROM documents),
+ g AS (SELECT doc_id, k, l, unnest(range(1, len(l) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM f) WHERE len(l) >= k)
+ SELECT DISTINCT doc_id, literal FROM (SELECT doc_id, array_to_string(l[i:i+k-1], ' ') AS literal FROM g) JOIN (SELECT DISTINCT literal FROM f) USING (literal)""")
+def leak_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of six words of every item (a shorter item whole) anywhere in a document; ``leak_scan`` shows one run an item."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.size("l") - k + 1), lambda i: F.array_join(F.slice("l", i, k), " "))
+    items = table(spark, sf_dir, "benchmark").select(words.alias("l")).where("size(l) > 0").withColumn("k", F.least(F.size("l"), F.lit(6)))
+    literals = items.select("k", F.explode(runs(F.col("k"))).alias("literal")).distinct()
+    lengths = items.select("k").distinct()  # six at most
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("l")).join(F.broadcast(lengths), F.size("l") >= F.col("k"))
+    grams = docs.select("doc_id", F.explode(F.array_distinct(runs(F.col("k")))).alias("literal"))
+    return grams.join(literals.select("literal"), "literal").select("doc_id", "literal").distinct()
+
+
 @query("""SELECT doc_id, key, n, first FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, key) AS r FROM (SELECT user_id AS doc_id, event_type AS key, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL HAVING count(*) >= 3)) WHERE r = 1""")
 def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.vote(table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("key"), F.col("event_id").alias("first")))
