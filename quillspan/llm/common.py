@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step handles; a longer single text is one step of its own.
 SLICE_BYTES = 4 << 20
@@ -22,13 +24,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, one machine) a folder under the temporary directory is used.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset on
+    one machine (tests) a folder under the temporary directory is used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch that a Python worker gets; a longer single row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the batches between the JVM and its Python workers by bytes, unless the session bounds them closer."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if have <= 0 or have > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
@@ -54,11 +72,20 @@ def give_back() -> None:
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run``, with freed memory given back to the system at its end: Python workers stay between tasks and stages."""
+    """``run``, with freed memory given back to the system now and then and at its end: Python workers stay between tasks and stages."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for b in batches:
+            yield b
+            done += b.nbytes
+            if done >= 4 * BATCH_BYTES:
+                give_back()
+                done = 0
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(each(batches))
         finally:
             give_back()
 
@@ -191,7 +218,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + (1 << 20), "right")))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + (1 << 17), "right")))
         a, b = int(starts[i]), int(ends[j - 1])
         up, down = _BYTES.to(b - a + 1)
         total = np.empty(b - a + 1, np.uint64)
@@ -215,5 +242,33 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64((total[k:] - total[:n]) * down[:n])
 
 
+# --- tables of bits: sets of 64-bit hashes that let a few others through ------
+
+
+def bit_place(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit of a hash in a table of 2**bits bits."""
+    return (h >> np.uint64(64 - bits + 6)).astype(np.int64), (h >> np.uint64(64 - bits)) & np.uint64(63)
+
+
+def in_table(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    word, bit = bit_place(h, 6 + (len(words) - 1).bit_length())
+    return ((words[word] >> bit) & np.uint64(1)).astype(bool)
+
+
+def gathered_bits(rows: DataFrame, bits: int) -> np.ndarray:
+    """The table of rows (word, bits): 2**bits / 8 bytes whatever the rows."""
+    t = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[t.column("word").to_numpy()] = t.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def bits_of(df: DataFrame, col: str, bits: int) -> np.ndarray:
+    """The table of a column of hashes (bigint)."""
+    word = F.shiftrightunsigned(col, 64 - bits + 6).cast("bigint")
+    bit = F.shiftrightunsigned(col, 64 - bits).bitwiseAND(63).cast("int")
+    return gathered_bits(df.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("bits")), bits)
+
+
 def binary_array(data: bytes, off: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(data)])

@@ -9,19 +9,25 @@ of base spans and n(e, t) that have both,
 
 The 1 is a document with t and without e that the corpus may have missed: it takes
 the place of a least number of documents, so that what is seen once counts as far
-as the corpus is large enough. A term that carries at least ``DISCLOSURE`` of a
-value's information content is a span of its own wherever it stands in a document
-with that value, and is generalised like the base spans.
+as the corpus is large enough. A term that carries at least ``DISCLOSURE`` of some
+value's information content is a span of its own wherever it stands, with the
+value or without it, and is generalised like the base spans.
 
 Terms are words of letters and digits, and two words next to each other that are
 a name or a number (both start with a capital or a digit, one blank between) or
-parts of an identifier (joined by one of ``./:_-``, a digit in one of them).
-
-Scale: counts are combined before they are shuffled. A document gives a row for
-each of its values with each of its terms, so a document with very many of both
-costs their product (rows leave in parts, memory stays bounded). Texts are never
-shuffled while the disclosing pairs are few (a checked bound); beyond it those
-that hold a value are joined, the others are not.
+parts of an identifier (joined by one of ``./:_-``, a digit in one of them), in
+lower case, letter by letter.
+
+Scale: texts are scanned four times and only counts are shuffled, combined before.
+The first scan counts values and marks the terms that stand in a document with one
+in a table of 2**26 bits; the second counts those terms over all documents (what
+else the table lets through counts for nothing). A disclosing term has
+n(t) + 1 <= max n(e)^d N^(1 - d), so the third scan gives pairs of a value and a
+term that is so rare alone. The tables have a fixed size; a fuller one lets more
+through and changes no result. The fourth scan marks the spans: disclosing terms
+are sent while they are few (a checked bound), beyond it they are joined with the
+texts that may have one. Terms are known by 64 bits: with 10^7 disclosing terms,
+10^9 other terms give 5e-4 false spans.
 """
 
 from __future__ import annotations
@@ -30,23 +36,27 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillspan.llm.common import materialise, slices, table, text_buffers, tidy
+from quillspan.llm.common import bit_place, bits_of, bounded_batches, gathered_bits, in_table, materialise, slices, table, text_buffers, tidy, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 DISCLOSURE = 0.9
-#: Disclosing pairs up to this number go to every task (about 10 MB); more are joined.
-SENT = 100_000
-#: Counts that a task holds before it passes them on.
-HELD = 1 << 18
+#: Disclosing terms (8 bytes each) up to this number go to every task; more are joined.
+SENT = 1_000_000
+#: Text bytes that one vectorised step handles.
+SLICE = 1 << 20
+#: Bits of the tables of terms, as a power of two.
+BITS = 26
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -54,11 +64,6 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\W_]+")
-_NAME = re.compile(r"(?<![^\W_])(?=([^\W_a-z][^\W_]*\x20[^\W_a-z][^\W_]*))")
-_PART = re.compile(r"(?<![^\W_])(?=([^\W_]+[./:_-][^\W_]+))")
-_NOT_DIGITS = bytes(b for b in range(256) if not 48 <= b <= 57)
-
 Span = tuple[int, str, int]
 
 
@@ -95,101 +100,198 @@ def base_spans(text: str, digits: bool = True) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str, bool]]:
-    """Row, text and whether it has a digit; null is empty."""
-    col = batch.column("text")
-    data, off = text_buffers(col)
-    for i, j in slices(off):
-        raw = data[off[i] : off[j]].tobytes()
-        for k in range(i, j):
-            one = raw[off[k] - off[i] : off[k + 1] - off[i]]
-            yield k, one.decode("utf-8", "replace"), bool(one.translate(None, _NOT_DIGITS))
-
-
 def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else re.sub('[^0-9.]', '', value) if kind == 'ip' else re.sub('[^0-9]', '', value)}"
 
 
-def _start(c: str) -> bool:
-    return c.isupper() or c.isdigit()
-
-
-def _phrases(text: str, digits: bool) -> Iterator[tuple[int, int]]:
-    for m in _NAME.finditer(text):
-        if _start(m[1][0]) and _start(m[1][m[1].index(" ") + 1]):
-            yield m.span(1)
-    if digits:
-        for m in _PART.finditer(text):
-            if any(c.isdigit() for c in m[1]):
-                yield m.span(1)
-
-
-def _terms(text: str, spans: list[Span], digits: bool) -> set[str]:
-    """Terms outside all spans, in lower case."""
-    if not spans:
-        return {*map(str.lower, set(_WORD.findall(text))), *(text[a:z].lower() for a, z in _phrases(text, digits))}
-    return {text[a:z].lower() for a, z in _outside(text, spans, digits)}
+@lru_cache(1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point its lower case (itself where that is no single one), and flags: 1 letter or digit, 2 capital or digit, 4 digit."""
+    low, flags = np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, np.uint8)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isalnum():
+            digit = c.isdigit()
+            flags[i] = 1 + 2 * (digit or c.isupper()) + 4 * digit
+            lower = c.lower()
+            if lower != c and len(lower) == 1:
+                low[i] = ord(lower)
+    return low, flags
+
+
+class Part(NamedTuple):
+    """Some texts of a batch: base spans by text, and term occurrences outside of them, by place in the texts put together."""
+
+    row: int
+    texts: list[str]
+    spans: dict[int, list[Span]]
+    begin: np.ndarray  # where each text begins
+    low: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    owner: np.ndarray
+    hash: np.ndarray
+
+
+def _suspects(code: np.ndarray, flags: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Texts that may have a base span: an @, a + before a digit, three dots between digits, or 14 ASCII digits."""
+    digit = (code >= 48) & (code <= 57)
+    after = np.append(digit[1:], False)
+    dots = (code == 46) & after & np.append(False, digit[:-1])
+    count = lambda x: np.add.reduceat(x, begin, dtype=np.int64) if len(begin) else np.zeros(0, np.int64)
+    return (count((code == 64) | ((code == 43) & after)) > 0) | (count(dots) >= 3) | (count(digit) >= 14)
+
+
+def _parts(batch: pa.RecordBatch, wanted: str = "all") -> Iterator[Part]:
+    """The batch in slices; ``wanted`` is all, or valued: terms of texts with a base span only. Null is empty."""
+    low_of, flag_of = _letters()
+    data, off = text_buffers(batch.column("text"))
+    for i, j in slices(off, SLICE):
+        raw = data[off[i] : off[j]].tobytes()
+        texts = [raw[off[k] - off[i] : off[k + 1] - off[i]].decode("utf-8", "replace") for k in range(i, j)]
+        code = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin = np.cumsum(size + 1) - size - 1
+        flags = flag_of[code]
+        spans: dict[int, list[Span]] = {}
+        for k in np.flatnonzero(_suspects(code, flags, begin)).tolist():
+            if s := base_spans(texts[k]):
+                spans[k] = s
+        if wanted == "valued":
+            inside = np.zeros(len(texts), bool)
+            inside[list(spans)] = True
+            flags = np.where(np.repeat(inside, size + 1), flags, 0).astype(np.uint8)
+        low = low_of[code]
+        words, pairs = _occurrences(code, flags)
+        first, last = (np.concatenate(x) for x in zip(words, pairs, strict=True))
+        hashes = np.concatenate((word_hashes(low, *words), word_hashes(low, *pairs)))
+        if spans:
+            taken = np.zeros(len(code) + 1, np.int32)
+            for k, s in spans.items():
+                for a, _, z in s:
+                    taken[begin[k] + a + 1 : begin[k] + z + 1] = 1
+            taken = np.cumsum(taken)
+            free = taken[last] == taken[first]
+            first, last, hashes = first[free], last[free], hashes[free]
+        order = np.argsort(first, kind="stable")
+        first = first[order]
+        yield Part(i, texts, spans, begin, low, first, last[order], np.searchsorted(begin, first, "right") - 1, hashes[order])
+
+
+def _occurrences(code: np.ndarray, flags: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """First and last (exclusive) of all words, and of the names and parts of identifiers, each by place."""
+    word = (flags & 1).astype(bool)
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False]))))
+    first, last = edge[::2], edge[1::2]
+    close = np.flatnonzero(first[1:] == last[:-1] + 1)
+    between = code[last[close]]
+    named = (between == 32) & ((flags[first[close]] & flags[first[close + 1]] & 2) > 0)
+    digits = np.concatenate(([0], np.cumsum(flags >> 2)))
+    joined = np.isin(between, np.frombuffer("./:_-".encode("utf-32-le"), np.uint32)) & (digits[last[close + 1]] > digits[first[close]])
+    pair = close[named | joined]
+    return (first, last), (first[pair], last[pair + 1])
+
+
+def _distinct(p: Part) -> np.ndarray:
+    """An occurrence of each term of each text."""
+    order = np.lexsort((p.hash, p.owner))
+    h, d = p.hash[order], p.owner[order]
+    return order[np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))] if len(order) else order
+
+
+def _entities(p: Part) -> dict[int, set[str]]:
+    return {k: {_entity(kind, p.texts[k][a:z]) for a, kind, z in s} for k, s in p.spans.items()}
+
+
+# --- counts -------------------------------------------------------------------
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """entity, n (documents that have it), or word, bits of the terms that stand with one."""
+    for b in batches:
+        count: Counter[str] = Counter()
+        for p in _parts(b, "valued"):
+            for e in _entities(p).values():
+                count.update(e)
+            if len(p.hash):
+                word, bit = bit_place(np.unique(p.hash), BITS)
+                new = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+                bits = np.bitwise_or.reduceat(np.uint64(1) << bit, new)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(new), pa.string()), pa.nulls(len(new), pa.int64()), pa.array(word[new]), pa.array(bits.view(np.int64))], ["entity", "n", "word", "bits"])
+        if count:
+            none = pa.nulls(len(count), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64()), none, none], ["entity", "n", "word", "bits"])
 
 
-def _outside(text: str, spans: list[Span], digits: bool) -> Iterator[tuple[int, int]]:
-    """Start and end of the terms outside all spans."""
-    taken = bytearray(len(text))
-    for a, _, z in spans:
-        taken[a:z] = b"\1" * (z - a)
-    for a, z in (*(m.span() for m in _WORD.finditer(text)), *_phrases(text, digits)):
-        if taken.find(1, a, z) < 0:
-            yield a, z
+def _term_counter(bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """h, n: documents that have a term of the table."""
+        for b in batches:
+            for p in _parts(b):
+                h = p.hash[_distinct(p)]
+                h, n = np.unique(h[in_table(bits, h)], return_counts=True)
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
+    return run
 
-def _rows(count: Counter[tuple[str, str]]) -> pa.RecordBatch:
-    e, t = zip(*count, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(e, pa.string()), pa.array(t, pa.string()), pa.array(list(count.values()), pa.int64())], ["entity", "term", "n"])
 
+def _pair_counter(bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """entity, term, h, n: documents that have both, of terms in the table."""
+        for b in batches:
+            for p in _parts(b, "valued"):
+                at = _distinct(p)
+                at = at[in_table(bits, p.hash[at])]
+                bounds = np.searchsorted(p.owner[at], np.arange(len(p.texts) + 1))
+                count: Counter[tuple[str, str, int]] = Counter()
+                for k, entities in _entities(p).items():
+                    mine = at[bounds[k] : bounds[k + 1]]
+                    terms = [(p.low[a:z].tobytes().decode("utf-32-le", "surrogatepass"), h) for a, z, h in zip(p.first[mine].tolist(), p.last[mine].tolist(), p.hash[mine].view(np.int64).tolist(), strict=True)]
+                    for e in entities:
+                        count.update((e, *t) for t in terms)
+                if count:
+                    e, t, h = zip(*count, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(e, pa.string()), pa.array(t, pa.string()), pa.array(h, pa.int64()), pa.array(list(count.values()), pa.int64())], ["entity", "term", "h", "n"])
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """entity, term, n: documents that have both; an empty term counts the entity itself, an empty entity the term."""
-    for b in batches:
-        count: Counter[tuple[str, str]] = Counter()
-        for _, text, digits in _texts(b):
-            spans = base_spans(text, digits)
-            terms = _terms(text, spans, digits)
-            for e in ("", *{_entity(kind, text[a:z]) for a, kind, z in spans}):
-                count.update((e, t) for t in terms)
-                if e:
-                    count[e, ""] += 1
-                if len(count) >= HELD:
-                    yield _rows(count)
-                    count.clear()
-        if count:
-            yield _rows(count)
+    return run
 
 
 def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
-    """entity, term, pmi, ic: the terms that give a protected value away, from counts over all documents."""
-    counts = docs.select("text").mapInArrow(tidy(_counts), "entity string, term string, n bigint").groupBy("entity", "term").agg(F.sum("n").alias("n"))
+    """entity, term, h, ne, nt, net, pmi, ic: the terms that give a protected value away, from counts over all documents.
+
+    h is the term's 64 bits. No documents, or none with a value, give no rows.
+    """
+    bounded_batches(docs.sparkSession)
+    text = docs.select("text")
     total = docs.count()
-    counts = materialise(counts, "counts")
-    own = counts.where("entity <> '' AND term = ''").select("entity", F.col("n").alias("ne"))
-    seen = counts.where("entity = ''").select("term", F.col("n").alias("nt"))
-    near = counts.where("entity <> '' AND term <> ''")
-    # n(e, t) <= n(e), so a disclosing term has n(t) + 1 <= n(e)^d N^(1 - d): the others need no join
+    values = materialise(text.mapInArrow(tidy(_values), "entity string, n bigint, word bigint, bits bigint").groupBy("entity", "word").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits")), "values")
+    own = values.where("entity IS NOT NULL").select("entity", F.col("n").alias("ne"))
     most = own.agg(F.max("ne")).first()[0] or 0
-    seen = seen.where(F.col("nt") <= most**disclosure * max(total, 1) ** (1 - disclosure) + 1)
-    pmi = F.log2(F.col("n") * F.lit(float(total)) / (F.col("ne") * (F.col("nt") + 1)))
-    j = near.join(own, "entity").join(seen, "term")
-    j = j.select("entity", "term", pmi.alias("pmi"), F.log2(F.lit(float(total)) / F.col("ne")).alias("ic"))
+    # n(e, t) <= n(e), so a disclosing term has n(t) + 1 <= n(e)^d N^(1 - d): more frequent ones need no pair
+    rare = most**disclosure * max(total, 1) ** (1 - disclosure) * (1 + 1e-9)
+    near = gathered_bits(values.where("word IS NOT NULL").select("word", "bits"), BITS)
+    seen = text.mapInArrow(tidy(_term_counter(near)), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("nt")).where(F.col("nt") + 1 <= rare)
+    seen = materialise(seen, "terms")
+    pairs = text.mapInArrow(tidy(_pair_counter(bits_of(seen, "h", BITS))), "entity string, term string, h bigint, n bigint").groupBy("entity", "term", "h").agg(F.sum("n").alias("net"))
+    j = pairs.join(seen, "h").join(own, "entity")
+    pmi, ic = F.log2(F.col("net") * F.lit(float(total)) / (F.col("ne") * (F.col("nt") + 1))), F.log2(F.lit(float(total)) / F.col("ne"))
+    j = j.select("entity", "term", "h", "ne", "nt", "net", pmi.alias("pmi"), ic.alias("ic"))
     return materialise(j.where((F.col("ic") > 0) & (F.col("pmi") >= disclosure * F.col("ic"))), "disclosing")
 
 
-def _term_spans(text: str, spans: list[Span], terms: set[str], digits: bool) -> list[Span]:
-    """Occurrences of ``terms`` outside ``spans``; those that overlap are one."""
-    out: list[Span] = []
-    if terms:
-        for a, z in sorted(x for x in _outside(text, spans, digits) if text[x[0] : x[1]].lower() in terms):
-            if out and a < out[-1][2]:
-                out[-1] = (out[-1][0], TERM, max(z, out[-1][2]))
-            else:
-                out.append((a, TERM, z))
+# --- spans --------------------------------------------------------------------
+
+
+def _term_spans(p: Part, hit: np.ndarray) -> dict[int, list[Span]]:
+    """Occurrences ``hit`` by text; those that overlap are one."""
+    out: dict[int, list[Span]] = {}
+    for k, a, z in zip(p.owner[hit].tolist(), p.first[hit].tolist(), p.last[hit].tolist(), strict=True):
+        own, at = out.setdefault(k, []), int(p.begin[k])
+        if own and a - at < own[-1][2]:
+            own[-1] = (own[-1][0], TERM, max(z - at, own[-1][2]))
+        else:
+            own.append((a - at, TERM, z - at))
     return out
 
 
@@ -206,31 +308,38 @@ def _replaced(text: str, spans: list[Span]) -> str:
     return "".join(parts) + text[done:]
 
 
-def _finder(known: dict[str, set[str]] | None, replace: bool = False):
-    """Adds pii_spans, or with ``replace`` puts the sanitised text in the text's place."""
+def _finder(known: np.ndarray | None, replace: bool = False):
+    """Adds pii_spans, or with ``replace`` puts the sanitised text in the text's place; ``known``: sorted terms, else column _terms has each text's."""
+
+    def among(p: Part, given: list | None) -> np.ndarray:
+        if known is not None:
+            if not len(known):
+                return np.zeros(0, np.int64)
+            at = np.searchsorted(known, p.hash)
+            return np.flatnonzero(known[np.minimum(at, len(known) - 1)] == p.hash)
+        bounds = np.searchsorted(p.owner, np.arange(len(p.texts) + 1))
+        hits = [np.zeros(0, np.int64)]
+        for k in range(len(p.texts)):
+            if terms := given[p.row + k]:
+                hits.append(bounds[k] + np.flatnonzero(np.isin(p.hash[bounds[k] : bounds[k + 1]], np.array(terms, np.int64).view(np.uint64))))
+        return np.concatenate(hits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             given = b.column("_terms").to_pylist() if known is None else None
-            out, raw, ends = [], [], [0]
-            for k, text, digits in _texts(b):
-                spans = base_spans(text, digits)
-                terms = {t for a, kind, z in spans for t in known.get(_entity(kind, text[a:z]), ())} if known is not None else set(given[k] or ())
-                spans = sorted(spans + _term_spans(text, spans, terms, digits), key=lambda s: (s[0], (*KINDS, TERM).index(s[1])))
+            rest = b.drop_columns(["_terms"]) if known is None else b
+            for p in _parts(b):
+                terms = _term_spans(p, among(p, given))
+                spans = [sorted(p.spans.get(k, []) + terms.get(k, []), key=lambda s: (s[0], (*KINDS, TERM).index(s[1]))) for k in range(len(p.texts))]
+                part = rest.slice(p.row, len(p.texts))
                 if replace:
-                    raw.append((_replaced(text, spans) if spans else text).encode())
-                    ends.append(ends[-1] + len(raw[-1]))
+                    new = [_replaced(t, s) if s else t for t, s in zip(p.texts, spans, strict=True)]
+                    old = part.column("text")
+                    col = pa.array(new, pa.string())
+                    yield part.set_column(part.schema.get_field_index("text"), "text", pc.if_else(old.is_null(), None, col) if old.null_count else col)
                 else:
-                    out.append([{"kind": kind, "start": a, "end": z} for a, kind, z in spans])
-            rest = b.drop_columns(["_terms"]) if "_terms" in b.schema.names else b
-            if replace:
-                old = b.column("text")
-                missing = old.is_null() if old.null_count else None
-                new = pa.Array.from_buffers(pa.large_string(), len(raw), [None, pa.py_buffer(np.array(ends, np.int64).tobytes()), pa.py_buffer(b"".join(raw))])
-                new = pc.if_else(missing, None, new) if missing is not None else new
-                yield rest.set_column(rest.schema.get_field_index("text"), "text", new.cast(pa.string()))
-            else:
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, _SPAN)], [*rest.schema.names, "pii_spans"])
+                    col = pa.array([[{"kind": kind, "start": a, "end": z} for a, kind, z in s] for s in spans], _SPAN)
+                    yield pa.RecordBatch.from_arrays([*part.columns, col], [*part.schema.names, "pii_spans"])
 
     return run
 
@@ -239,26 +348,34 @@ def _text_id(text: str) -> bytes:
     return hashlib.sha256(text.encode()).digest()
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds _text_id, null where the text has no protected value."""
-    for b in batches:
-        ids = [_text_id(text) if base_spans(text, digits) else None for _, text, digits in _texts(b)]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], [*b.schema.names, "_text_id"])
+def _marker(bits: np.ndarray):
+    """Adds _text_id, null where the text has no term of the table."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in _parts(b):
+                some = set(p.owner[in_table(bits, p.hash)].tolist())
+                part = b.slice(p.row, len(p.texts))
+                ids = [_text_id(t) if k in some else None for k, t in enumerate(p.texts)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], [*part.schema.names, "_text_id"])
 
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_text_id, entity, term: the values of each text with its terms."""
-    names = ["_text_id", "entity", "term"]
-    for b in batches:
-        done: set[bytes] = set()
-        for _, text, digits in _texts(b):
-            spans = base_spans(text, digits)
-            if not spans or (key := _text_id(text)) in done:
-                continue
-            done.add(key)
-            terms = pa.array(list(_terms(text, spans, digits)), pa.string())
-            for e in {_entity(kind, text[a:z]) for a, kind, z in spans} if len(terms) else ():
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(key, pa.binary()), len(terms)), pa.repeat(e, len(terms)), terms], names)
+    return run
+
+
+def _holder(bits: np.ndarray):
+    """_text_id, h: the terms of the table that each text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in _parts(b):
+                at = _distinct(p)
+                at = at[in_table(bits, p.hash[at])]
+                if len(at):
+                    own, back = np.unique(p.owner[at], return_inverse=True)
+                    ids = pa.array([_text_id(p.texts[k]) for k in own.tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(back)), pa.array(p.hash[at].view(np.int64))], ["_text_id", "h"])
+
+    return run
 
 
 def find_personal_data(docs: DataFrame, sent: int = SENT, **thresholds: float) -> DataFrame:
@@ -275,21 +392,17 @@ def find_personal_data(docs: DataFrame, sent: int = SENT, **thresholds: float) -
 
 
 def _apply(docs: DataFrame, schema: StructType, replace: bool, sent: int, **thresholds: float) -> DataFrame:
-    found = disclosing_terms(docs, **thresholds).select("entity", "term")
-    few = found.limit(sent + 1).collect()
-    if len(few) <= sent:
-        known: dict[str, set[str]] = {}
-        for r in few:
-            known.setdefault(r.entity, set()).add(r.term)
-        return docs.mapInArrow(tidy(_finder(known, replace)), schema)
-    held = docs.select("text").mapInArrow(tidy(_held), "_text_id binary, entity string, term string")
-    terms = held.join(found, ["entity", "term"], "left_semi").groupBy("_text_id").agg(F.collect_set("term").alias("_terms"))
-    marked = docs.mapInArrow(tidy(_marked), StructType([*docs.schema.fields, *StructType.fromDDL("_text_id binary").fields]))
-    joined = marked.where("_text_id IS NOT NULL").join(terms, "_text_id", "left").drop("_text_id").mapInArrow(tidy(_finder(None, replace)), schema)
-    rest = marked.where("_text_id IS NULL").drop("_text_id")
-    if not replace:
-        rest = rest.withColumn("pii_spans", F.array().cast(schema["pii_spans"].dataType))
-    return joined.unionByName(rest)
+    found = materialise(disclosing_terms(docs, **thresholds).select("h").distinct(), "disclosing-terms")
+    if found.count() <= sent:
+        return docs.mapInArrow(tidy(_finder(np.sort(found.toArrow().column("h").to_numpy().view(np.uint64)), replace)), schema)
+    bits = bits_of(found, "h", BITS)
+    held = docs.select("text").mapInArrow(tidy(_holder(bits)), "_text_id binary, h bigint").distinct()
+    terms = held.join(found, "h", "left_semi").groupBy("_text_id").agg(F.collect_list("h").alias("_terms"))
+    marked = docs.mapInArrow(tidy(_marker(bits)), StructType([*docs.schema.fields, *StructType.fromDDL("_text_id binary").fields]))
+    joined = marked.where("_text_id IS NOT NULL").join(terms, "_text_id", "left").drop("_text_id")
+    # without a term a text may still have base spans
+    rest = marked.where("_text_id IS NULL").drop("_text_id").withColumn("_terms", F.array().cast("array<bigint>"))
+    return joined.unionByName(rest).mapInArrow(tidy(_finder(None, replace)), schema)
 
 
 def sanitised(docs: DataFrame, sent: int = SENT, **thresholds: float) -> DataFrame:
@@ -303,7 +416,7 @@ def sanitised(docs: DataFrame, sent: int = SENT, **thresholds: float) -> DataFra
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 
-def _digest(spans: str) -> F.Column:
+def _digest(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
@@ -312,3 +425,30 @@ def op5_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = found.select("doc_id", F.col("pii_spans").alias("s"), F.filter("pii_spans", lambda s: s["kind"] != TERM).alias("b"))
     count = lambda k: F.size(F.filter("b", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
     return d.select("doc_id", *map(count, KINDS), F.sha2(_digest("b"), 256).alias("base_sha256"), _digest("s").alias("spans"))
+
+
+def brute_force(texts: list[str | None], disclosure: float = DISCLOSURE) -> dict[tuple[str, str], tuple[int, int, int]]:
+    """n(e), n(t) and n(e, t) of all disclosing pairs by plain counting over all pairs, for tests."""
+    word, pair = r"[^\W_]+", re.compile(r"(?<![^\W_])(?=([^\W_]+)([\x20./:_-])([^\W_]+))")
+    low = lambda s: "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
+    ne, nt, net = Counter(), Counter(), Counter()
+    for t in texts:
+        t = t or ""
+        spans = base_spans(t)
+        found = [m.span() for m in re.finditer(word, t)]
+        for m in pair.finditer(t):
+            a, b = m[1], m[3]
+            if all(x[0].isupper() or x[0].isdigit() for x in (a, b)) if m[2] == " " else any(c.isdigit() for c in a + b):
+                found.append((m.start(1), m.end(3)))
+        terms = {low(t[a:z]) for a, z in found if not any(a < y and x < z for x, _, y in spans)}
+        entities = {_entity(kind, t[a:z]) for a, kind, z in spans}
+        ne.update(entities)
+        nt.update(terms)
+        net.update((e, x) for e in entities for x in terms)
+    n = len(texts)
+    out = {}
+    for (e, x), k in net.items():
+        ic = np.log2(n / ne[e])
+        if ic > 0 and np.log2(k * n / (ne[e] * (nt[x] + 1))) >= disclosure * ic:
+            out[e, x] = (ne[e], nt[x], k)
+    return out
