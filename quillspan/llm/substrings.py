@@ -3,30 +3,41 @@
 A window is ``LENGTH`` consecutive words. Of the runs of ``SEED`` words inside a
 window the leftmost one with the smallest hash is the window's anchor, so equal
 windows have equal anchors at equal offsets, and neighbouring windows mostly
-share theirs. Occurrences are joined on the anchor; each carries fingerprints of
+share theirs. A first scan counts the anchors: one that occurs once has no repeat.
+Occurrences of the others are joined on the anchor; each carries fingerprints of
 the windows that extend it to both sides, which tell how far a match reaches.
-Runs of matching windows are the maximal repeats.
+Runs of matching windows are the maximal repeats. Windows are equal if 128 bits of
+their words' hashes agree.
 
 Scale: a task first compares what it has itself, so a passage that a third of
-all texts share leaves each task once. One shuffle moves anchors (about one for
-eight words), one moves the texts to their intervals. Nothing is collected, no
-pairs are made and no group is capped.
+all texts share leaves each slice of texts once. One shuffle moves anchors (about
+one for eight words, 8 bytes), one the windows of those that repeat, one the texts
+to their intervals. The repeating anchors are sent as a table of 2**27 bits, which
+lets a few others through, to no effect. An anchor with more than ``HOT``
+occurrences isn't gathered: its windows are dealt out one by one, by their
+fingerprints, and pass in order. Nothing is collected, no pairs are made and no
+group is capped.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import binary_array, gram_hashes, mix64, run_tables, SLICE_BYTES, slices, table, text_buffers, tidy, word_bounds, word_hashes
+from quillspan.llm.common import SLICE_BYTES, binary_array, bits_of, bounded_batches, gram_hashes, in_table, materialise, mix64, run_tables, slices, table, text_buffers, tidy, word_bounds, word_hashes
 
 LENGTH = 20
 SEED = 6
+#: Occurrences (in slices of texts) from which on an anchor's windows are dealt out one by one.
+HOT = 4096
+#: Bits of the table of repeating anchors, as a power of two.
+BITS = 27
 
 _SEEDS = "key bigint, doc_id bigint, place bigint, n int, prints binary"
 _SPANS = "doc_id bigint, mark bigint, first bigint, last bigint"
@@ -61,54 +72,129 @@ def _batch(key: np.ndarray, doc: np.ndarray, place: np.ndarray, n: np.ndarray, p
     return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(place), pa.array(n.astype(np.int32)), prints], ["key", "doc_id", "place", "n", "prints"])
 
 
-def _seeds(doc: np.ndarray, mark: np.ndarray, data: np.ndarray, off: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of one slice of texts: its own repeats (n > 0), and anchors whose windows it has first (n = 0)."""
+class Windows(NamedTuple):
+    """The windows of one slice of texts: text, place, first word (in the slice), anchor, two fingerprints, and the first equal window."""
+
+    own: np.ndarray
+    at: np.ndarray
+    word: np.ndarray
+    anchor: np.ndarray
+    seeds: np.ndarray
+    prints: np.ndarray
+    more: np.ndarray
+    first: np.ndarray
+
+
+def _windows(data: np.ndarray, off: np.ndarray) -> Windows | None:
     starts, ends, first_word = word_bounds(data, off)
     if len(starts) < LENGTH:
-        return
+        return None
     words = word_hashes(data, starts, ends)
-    owner = np.repeat(np.arange(len(doc)), np.diff(first_word))
+    owner = np.repeat(np.arange(len(off) - 1), np.diff(first_word))
     w = np.flatnonzero(owner[: len(owner) - LENGTH + 1] == owner[LENGTH - 1 :])
     if not len(w):
-        return
+        return None
     seeds = gram_hashes(words, SEED)
     anchor = _leftmost_min(seeds, LENGTH - SEED + 1)[w]
-    whole = gram_hashes(words, LENGTH)[w]
-    own, at = owner[w], w - first_word[owner[w]]
+    prints, more = gram_hashes(words, LENGTH)[w], gram_hashes(mix64(words ^ _C), LENGTH)[w]
     # texts stand in order of doc_id and mark, so the first index is the earliest occurrence
-    _, first, back = np.unique(whole, return_index=True, return_inverse=True)
+    _, first, back = np.unique(prints, return_index=True, return_inverse=True)
     first = first[back]
-    mine = np.arange(len(w))
-    same = (doc[own[first]] == doc[own]) & (mark[own[first]] == mark[own]) & (at[first] == at)
-    gone = (first != mine) & ~same
-    if gone.any():
-        g = np.flatnonzero(gone)
-        i, n = _runs(np.concatenate(([True], (np.diff(at[g]) != 1) | (np.diff(own[g]) != 0))))
-        i = g[i]
-        place = (mark[own[i]] << _MARK) | (at[i] << _FIRST)
-        # spread by a hash: these rows only pass through
-        key = mix64(doc[own[i]].astype(np.uint64) * _C + at[i].astype(np.uint64))
-        yield _batch(key, doc[own[i]], place, n + LENGTH - 1, pa.nulls(len(i), pa.binary()))
-    c = np.flatnonzero(first == mine)
-    a = anchor[c]
-    i, n = _runs(np.concatenate(([True], (np.diff(at[c]) != 1) | (np.diff(own[c]) != 0) | (np.diff(a) != 0))))
-    prints = whole[c].astype("<u8")
-    i0 = c[i]
-    place = (mark[own[i0]] << _MARK) | (at[i0] << _FIRST) | ((a[i] - w[i0]) << _OFFSET) | n
-    off8 = np.concatenate(([0], np.cumsum(n) * 8))
-    yield _batch(seeds[a[i]], doc[own[i0]], place, np.zeros(len(i)), binary_array(prints.tobytes(), off8))
-
-
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if (more[first] != more).any():  # half of the bits agree by chance
+        _, first, back = np.unique(np.stack([prints, more]), axis=1, return_index=True, return_inverse=True)
+        first = first[back.ravel()]
+    return Windows(owner[w], w - first_word[owner[w]], w, anchor, seeds, prints, more, first)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Windows]]:
+    """doc_id and mark of the texts of each slice, in that order, and their windows."""
     for b in batches:
         doc = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         mark = b.column("mark").to_numpy(zero_copy_only=False).astype(np.int64)
         order = np.lexsort((mark, doc))
-        text = b.column("text").take(pa.array(order))
-        data, off = text_buffers(text)
+        data, off = text_buffers(b.column("text").take(pa.array(order)))
         doc, mark = doc[order], mark[order]
         for i, j in slices(off, SLICE_BYTES):
-            yield from _seeds(doc[i:j], mark[i:j], data[off[i] : off[j]], off[i : j + 1] - off[i])
+            x = _windows(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            if x is not None:
+                yield doc[i:j], mark[i:j], x
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, n: the anchors of a slice's windows, and 2 for those that it has at several places, else 1.
+
+    Where a slice ends may differ from scan to scan, so repeats inside one count too.
+    """
+    for _, _, x in _slices(batches):
+        keys, n = np.unique(x.seeds[np.unique(x.anchor)], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.minimum(n, 2))], ["key", "n"])
+
+
+def _pairs(x: Windows, at: np.ndarray) -> np.ndarray:
+    return np.stack([x.prints[at], x.more[at]], axis=1).astype("<u8")
+
+
+def _finder(repeating: np.ndarray, hot: np.ndarray | None):
+    """A slice's own repeats (n > 0), and anchors with the windows that it has first (n = 0)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, mark, x in _slices(batches):
+            mine, own, at = np.arange(len(x.at)), x.own, x.at
+            f = x.first
+            same = (doc[own[f]] == doc[own]) & (mark[own[f]] == mark[own]) & (at[f] == at)
+            g = np.flatnonzero((f != mine) & ~same)
+            if len(g):
+                i, n = _runs(np.concatenate(([True], (np.diff(at[g]) != 1) | (np.diff(own[g]) != 0))))
+                i = g[i]
+                place = (mark[own[i]] << _MARK) | (at[i] << _FIRST)
+                # spread by a hash: these rows only pass through
+                key = mix64(doc[own[i]].astype(np.uint64) * _C + at[i].astype(np.uint64))
+                yield _batch(key, doc[own[i]], place, n + LENGTH - 1, pa.nulls(len(i), pa.binary()))
+            key = x.seeds[x.anchor]
+            c = np.flatnonzero((f == mine) & in_table(repeating, key))
+            if hot is not None:
+                c = c[~in_table(hot, key[c])]
+            if len(c):
+                a = x.anchor[c]
+                i, n = _runs(np.concatenate(([True], (np.diff(at[c]) != 1) | (np.diff(own[c]) != 0) | (np.diff(a) != 0))))
+                i0 = c[i]
+                place = (mark[own[i0]] << _MARK) | (at[i0] << _FIRST) | ((a[i] - x.word[i0]) << _OFFSET) | n
+                yield _batch(key[i0], doc[own[i0]], place, np.zeros(len(i)), binary_array(_pairs(x, c).tobytes(), np.concatenate(([0], np.cumsum(n) * 16))))
+
+    return run
+
+
+def _single(hot: np.ndarray):
+    """The windows of hot anchors that a slice has first, a row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, mark, x in _slices(batches):
+            c = np.flatnonzero((x.first == np.arange(len(x.first))) & in_table(hot, x.seeds[x.anchor]))
+            if len(c):
+                cols = (x.prints[c].view(np.int64), x.more[c].view(np.int64), doc[x.own[c]], mark[x.own[c]], x.at[c])
+                yield pa.RecordBatch.from_arrays([pa.array(y) for y in cols], ["key", "more", "doc_id", "mark", "first"])
+
+    return run
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of all but the first of equal windows, from rows sorted by window, doc_id, mark and place; one row is remembered."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, more, doc, mark, at = (b.column(c).to_numpy() for c in ("key", "more", "doc_id", "mark", "first"))
+        new = np.concatenate(([held is None or held[:2] != (key[0], more[0])], (key[1:] != key[:-1]) | (more[1:] != more[:-1])))
+        head = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        known = held if held is not None else (0, 0, 0, 0, 0)
+        d, m, f = (np.where(head >= 0, x[np.maximum(head, 0)], k) for x, k in zip((doc, mark, at), known[2:], strict=True))
+        # repeated rows are one window
+        gone = ~new & ~((doc == d) & (mark == m) & (at == f))
+        if gone.any():
+            yield pa.RecordBatch.from_arrays([pa.array(doc[gone]), pa.array(mark[gone]), pa.array(at[gone]), pa.array(at[gone] + LENGTH)], ["doc_id", "mark", "first", "last"])
+        if head[-1] >= 0:
+            i = head[-1]
+            held = (key[i], more[i], doc[i], mark[i], at[i])
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,17 +206,19 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = np.flatnonzero(~passed)
         if len(r):
             prints, _ = text_buffers(t.column("prints").combine_chunks())
-            prints = prints.view("<u8").astype(np.uint64)
+            prints = prints.view("<u8").astype(np.uint64).reshape(-1, 2)
             many = place[r] & 15
             row = np.repeat(r, many)
             step = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
             offset = ((place[row] >> _OFFSET) & 15) - step
             at = ((place[row] >> _FIRST) & 0x7FFFFFF) + step
             mark = place[row] >> _MARK
-            name = mix64(mix64(key[row].view(np.uint64) + offset.astype(np.uint64) * _C) ^ prints)
             # rows of a key come by doc_id, mark and start; of one document's windows the earlier stand first
-            _, first, back = np.unique(name, return_index=True, return_inverse=True)
-            first = first[back]
+            order = np.lexsort((np.arange(len(row)), prints[:, 1], prints[:, 0], offset, key[row]))
+            s = (key[row][order], offset[order], prints[order, 0], prints[order, 1])
+            head = np.concatenate(([True], np.logical_or.reduce([x[1:] != x[:-1] for x in s])))
+            first = np.empty(len(row), np.int64)
+            first[order] = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
             same = (doc[row[first]] == doc[row]) & (mark[first] == mark) & (at[first] == at)
             g = np.flatnonzero((first != np.arange(len(row))) & ~same)
             if len(g):
@@ -142,7 +230,7 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(k), pa.array(f), pa.array(f + m)], ["doc_id", "mark", "first", "last"])
 
 
-def repeat_spans(docs: DataFrame) -> DataFrame:
+def repeat_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, mark, first, last: word spans (end exclusive) whose windows start earlier somewhere.
 
     Earlier: smaller doc_id, or the same document and an earlier start. Spans may
@@ -151,9 +239,19 @@ def repeat_spans(docs: DataFrame) -> DataFrame:
     by their text (``mark``): of equal rows each keeps what the others keep, and of
     different texts under one doc_id the one with the smaller mark is the earlier.
     """
+    bounded_batches(docs.sparkSession)
     d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("doc_id"), _mark().alias("mark"), "text")
-    seeds = d.mapInArrow(tidy(_find), _SEEDS)
-    return seeds.repartition("key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(tidy(_extend), _SPANS)
+    counts = d.mapInArrow(tidy(_anchors), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = materialise(counts.where("n > 1"), "anchors")
+    repeating = bits_of(counts, "key", BITS)
+    common = counts.where(F.col("n") > hot)
+    often = None if common.isEmpty() else bits_of(common, "key", BITS)
+    seeds = d.mapInArrow(tidy(_finder(repeating, often)), _SEEDS)
+    out = seeds.repartition("key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(tidy(_extend), _SPANS)
+    if often is None:
+        return out
+    one = d.mapInArrow(tidy(_single(often)), "key bigint, more bigint, doc_id bigint, mark bigint, first bigint")
+    return out.unionByName(one.repartition("key", "more").sortWithinPartitions("key", "more", "doc_id", "mark", "first").mapInArrow(tidy(_later), _SPANS))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,13 +275,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "text"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, text: each row's text without the words of repeated windows.
 
     What is left is joined by single spaces. A row comes back for each row of
     ``docs``; null and empty texts give empty ones. Only doc_id and text are read.
     """
-    spans = repeat_spans(docs).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = repeat_spans(docs, hot).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "spans")
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.join(spans, (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("_d")) & (_mark() == F.col("_m")), "left")
