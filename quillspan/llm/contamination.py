@@ -6,27 +6,31 @@ word tells which words lie inside an occurrence of a window, and the state tells
 whose window it is.
 
 The items are the query set: they are read in blocks of bounded size, each block
-one automaton against all rows. Texts are never shuffled.
+one automaton against all rows. Texts are never shuffled for one block; beyond it
+only what is joined with the hits found.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillspan.llm.common import slices, table, text_buffers, tidy
+from quillspan.llm.common import bounded_batches, materialise, slices, table, text_buffers, tidy
 
 WINDOW = 13
 #: A document is contaminated if ``COVERAGE`` times its hit words are at least its words.
 COVERAGE = 20
-#: Bytes of item texts in one automaton; more items make more blocks.
-BLOCK_BYTES = 16 << 20
+#: Bytes of item texts in one automaton (some 10 bytes in its arrays for each); more items make more blocks.
+BLOCK_BYTES = 4 << 20
+#: Words of a run that one step streams.
+STRIDE = 512
 
 #: A-Z in lower case; what no word has is a blank. Bytes from x80 on are letters.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -37,113 +41,189 @@ def normalised(text: bytes) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences; words are numbered by ``vocabulary``."""
+    """Suffix automaton of several word sequences, in arrays: some 50 bytes a state; words are numbered by ``vocabulary``.
+
+    Transitions are sorted by state and word, so that many places are streamed at
+    once, by binary search. ``top`` is the state whose factors include the last
+    ``window`` words of a state's factors; ``short`` the nearest state on the way to
+    the root, itself included, that is an item of fewer words.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         number = self.vocabulary.setdefault
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
         coded = [(name, [number(w, len(self.vocabulary)) for w in words]) for name, words in items if words]
+        self.width = len(self.vocabulary) + 1
+        self.least = min([window, *(len(w) for _, w in coded)])
+        self._next: dict[int, int] = {}
+        self._link, self._length = array("i", [-1]), array("i", [0])
+        # the words of a state's transitions, as chains: copies of a state need them
+        self._head, self._word, self._after = array("i", [-1]), array("i"), array("i")
         for _, words in coded:
             last = 0
             for w in words:
                 last = self._extend(last, w)
-        #: The state whose factors include the last ``window`` words of a state's factors.
-        self.top = [0] * len(self.link)
-        for v in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            if self.length[v] >= window:
-                up = self.link[v]
-                self.top[v] = v if self.length[up] < window else self.top[up]
-        self.least = min([window, *(len(w) for _, w in coded)])
-        #: Items by state, for whole windows; (words, item) by state, for items shorter than a window.
-        self.items: dict[int, set[str]] = {}
-        self.short: dict[int, set[tuple[int, str]]] = {}
+        self.link, self.length = np.array(self._link, np.int32), np.array(self._length, np.int32)
+        keys = np.fromiter(self._next, np.int64, len(self._next))
+        order = np.argsort(keys)
+        self.keys, self.target = keys[order], np.fromiter(self._next.values(), np.int32, len(keys))[order]
+        by_length = np.argsort(self.length, kind="stable").tolist()
+        link, length = self._link, self._length
+        top = array("i", bytes(4 * len(link)))
+        for v in by_length[1:]:
+            if length[v] >= window:
+                top[v] = v if length[link[v]] < window else top[link[v]]
+        self.top = np.array(top, np.int32)
+        self.names = sorted({name for name, _ in coded})
+        at = {name: i for i, name in enumerate(self.names)}
+        short: set[tuple[int, int, int]] = set()  # state, words, item
         for name, words in coded:
             if len(words) < window:
                 v = 0
                 for w in words:
-                    v = self.next[v][w]
-                while self.length[self.link[v]] >= len(words):
-                    v = self.link[v]
-                self.short.setdefault(v, set()).add((len(words), name))
-            else:
-                for _, v, n in self.stream(words):
-                    if n >= window:
-                        self.items.setdefault(self.top[v], set()).add(name)
-
-    def _new(self, length: int, link: int, after: dict[int, int]) -> int:
-        self.length.append(length)
-        self.link.append(link)
-        self.next.append(after)
-        return len(self.link) - 1
+                    v = self._next[v * self.width + w]
+                while length[link[v]] >= len(words):
+                    v = link[v]
+                short.add((v, len(words), at[name]))
+        rows = np.array(sorted(short), np.int64).reshape(-1, 3)
+        self.short_states, self.short_from = np.unique(rows[:, 0], return_index=True)
+        self.short_from = np.append(self.short_from, len(rows))
+        self.short_size, self.short_item = rows[:, 1], rows[:, 2]
+        near = array("i", bytes(4 * len(link)))
+        own = set(self.short_states.tolist())
+        for v in by_length[1:]:
+            near[v] = v if v in own else near[link[v]]
+        self.short = np.array(near, np.int32)
+        del self._next, self._link, self._length, self._head, self._word, self._after
+        long = [(at[name], words) for name, words in coded if len(words) >= window]
+        ids = np.array([w for _, words in long for w in words], np.int32)
+        ends = np.cumsum([len(words) for _, words in long], dtype=np.int64)
+        place, state, n = self.stream(ids, np.concatenate(([0], ends[:-1])) if len(ends) else ends, ends)
+        full = n >= window
+        item = np.array([i for i, _ in long], np.int64)[np.searchsorted(ends, place[full], "right")]
+        owned = np.unique(np.stack([self.top[state[full]].astype(np.int64), item], axis=1), axis=0).reshape(-1, 2)
+        self.item_states, self.item_from = np.unique(owned[:, 0], return_index=True)
+        self.item_from = np.append(self.item_from, len(owned))
+        self.item = owned[:, 1]
+
+    def _add(self, v: int, w: int, u: int) -> None:
+        self._next[v * self.width + w] = u
+        self._word.append(w)
+        self._after.append(self._head[v])
+        self._head[v] = len(self._word) - 1
+
+    def _new(self, length: int, link: int) -> int:
+        self._length.append(length)
+        self._link.append(link)
+        self._head.append(-1)
+        return len(self._link) - 1
 
     def _split(self, p: int, q: int, w: int) -> int:
         """The state for p's factors with ``w``: q, or a copy of it if q has longer ones."""
-        if self.length[q] == self.length[p] + 1:
+        if self._length[q] == self._length[p] + 1:
             return q
-        copy = self._new(self.length[p] + 1, self.link[q], dict(self.next[q]))
-        self.link[q] = copy
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = copy
-            p = self.link[p]
+        copy = self._new(self._length[p] + 1, self._link[q])
+        t = self._head[q]
+        while t >= 0:
+            self._add(copy, self._word[t], self._next[q * self.width + self._word[t]])
+            t = self._after[t]
+        self._link[q] = copy
+        while p >= 0 and self._next.get(p * self.width + w) == q:
+            self._next[p * self.width + w] = copy
+            p = self._link[p]
         return copy
 
     def _extend(self, last: int, w: int) -> int:
-        if w in self.next[last]:
-            return self._split(last, self.next[last][w], w)
-        state, p = self._new(self.length[last] + 1, 0, {}), last
-        while p >= 0 and w not in self.next[p]:
-            self.next[p][w] = state
-            p = self.link[p]
+        known = self._next.get(last * self.width + w)
+        if known is not None:
+            return self._split(last, known, w)
+        state, p = self._new(self._length[last] + 1, 0), last
+        while p >= 0 and p * self.width + w not in self._next:
+            self._add(p, w, state)
+            p = self._link[p]
         if p >= 0:
-            self.link[state] = self._split(p, self.next[p][w], w)
+            self._link[state] = self._split(p, self._next[p * self.width + w], w)
         return state
 
-    def stream(self, words: list[int]) -> Iterator[tuple[int, int, int]]:
-        """Place, state and length of the longest match that ends there."""
-        after, link, length = self.next, self.link, self.length
-        v = n = 0
-        for i, w in enumerate(words):
-            while v and w not in after[v]:
-                v = link[v]
-                n = length[v]
-            u = after[v].get(w)
-            if u is not None:
-                v, n = u, n + 1
-            yield i, v, n
-
-    def hits(self, words: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Merged spans (end exclusive) of words inside windows, and the windows' items."""
-        spans: list[list[int]] = []
-        states: set[int] = set()
-        found: set[str] = set()
-        window, least, top = self.window, self.least, self.top
-        for i, v, n in self.stream(words):
-            if n < least:
-                continue
-            reach = 0
-            if n >= window and top[v] in self.items:
-                states.add(top[v])
-                reach = window
-            if self.short:
-                u, bound = v, n
-                while u > 0:
-                    for size, name in self.short.get(u, ()):
-                        if size <= bound:
-                            found.add(name)
-                            reach = max(reach, size)
-                    u = self.link[u]
-                    bound = self.length[u]
-            if reach:
-                a = i + 1 - reach
-                while spans and spans[-1][1] >= a:
-                    a = min(a, spans.pop()[0])
-                spans.append([a, i + 1])
-        for u in states:
-            found |= self.items[u]
-        return [(a, b) for a, b in spans], found
+    def stream(self, ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, state and length (``window`` and above are right as such) of the matches of ``least`` words or more that end in the runs first..last of ``ids``.
+
+        Long runs are cut into steps of ``STRIDE`` words with ``window`` - 1 words before
+        them: longer matches tell no more. All steps go forward side by side.
+        """
+        many = np.maximum(1, -(-(last - first) // STRIDE))
+        begin = np.repeat(first, many) + STRIDE * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+        end = np.minimum(begin + STRIDE, np.repeat(last, many))
+        at = np.maximum(begin - self.window + 1, np.repeat(first, many))
+        order = np.argsort(at - end, kind="stable")  # the longest first, so that those still on their way stand in front
+        at, begin, end = at[order], begin[order], end[order]
+        size = end - at
+        state, n = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for k in range(int(size[0]) if len(size) else 0):
+            live = int(np.searchsorted(-size, -k, "left"))
+            w = ids[at[:live] + k]
+            open_ = np.arange(live)
+            while len(open_):
+                key = state[open_].astype(np.int64) * self.width + w[open_]
+                pos = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+                hit = (self.keys[pos] == key) if len(self.keys) else np.zeros(len(key), bool)
+                on = open_[hit]
+                state[on] = self.target[pos[hit]]
+                n[on] += 1
+                off = open_[~hit]
+                lost = state[off] == 0
+                n[off[lost]] = 0
+                open_ = off[~lost]
+                state[open_] = self.link[state[open_]]
+                n[open_] = self.length[state[open_]]
+            found = np.flatnonzero((n[:live] >= self.least) & (at[:live] + k >= begin[:live]))
+            if len(found):
+                out.append((at[found] + k, state[found].copy(), n[found].copy()))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        place, state, n = (np.concatenate(x) for x in zip(*out, strict=True))
+        return place, state, n
+
+    def hits(self, ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Last place and words of the windows found, and (last place, item) of those that have them."""
+        place, state, n = self.stream(ids, first, last)
+        at, size, where, item = [], [], [], []
+        full = n >= self.window
+        p, i, k = _lists(place[full], self.top[state[full]], self.item_states, self.item_from)
+        at.append(p[k == 0])
+        size.append(np.full(int((k == 0).sum()), self.window))
+        where.append(p)
+        item.append(self.item[i])
+        u = self.short[state]
+        bound = np.where(u == state, n, np.iinfo(np.int32).max)
+        while (u > 0).any():
+            go = u > 0
+            u, place, bound = u[go], place[go], bound[go]
+            p, i, _ = _lists(np.arange(len(u)), u, self.short_states, self.short_from)
+            ok = self.short_size[i] <= bound[p]
+            p, i = p[ok], i[ok]
+            at.append(place[p])
+            size.append(self.short_size[i])
+            where.append(place[p])
+            item.append(self.short_item[i])
+            u = self.short[self.link[u]]
+            bound = np.full(len(u), np.iinfo(np.int32).max)
+        return np.concatenate(at), np.concatenate(size), np.concatenate(where), np.concatenate(item)
+
+
+def _lists(what: np.ndarray, state: np.ndarray, states: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each of ``what`` with every entry of its state's list, and the entry's number in the list; states without a list have none."""
+    if not len(states):
+        z = np.zeros(0, np.int64)
+        return what[:0], z, z
+    k = np.minimum(np.searchsorted(states, state), len(states) - 1)
+    ok = states[k] == state
+    k, what = k[ok], what[ok]
+    many = bounds[k + 1] - bounds[k]
+    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(what, many), np.repeat(bounds[k], many) + nth, nth
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -156,14 +236,19 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _texts_hits(raw: bytes, off: np.ndarray, auto: Automaton) -> tuple[np.ndarray, dict[int, tuple[list[tuple[int, int]], set[str]]]]:
-    """Word counts of some texts, and the hits of those that have any."""
+def _words(raw: bytes, off: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Words of some texts, and each text's first."""
     words: list[bytes] = []
     ends = []
     for i in range(len(off) - 1):
         words += raw[off[i] : off[i + 1]].translate(NORMAL).split()
         ends.append(len(words))
-    first = np.concatenate(([0], np.array(ends, np.int64)))
+    return words, np.concatenate(([0], np.array(ends, np.int64)))
+
+
+def _texts_hits(raw: bytes, off: np.ndarray, auto: Automaton) -> tuple[np.ndarray, dict[int, tuple[list[tuple[int, int]], set[str]]]]:
+    """Word counts of some texts, and the hits of those that have any: spans (end exclusive, merged) and items."""
+    words, first = _words(raw, off)
     ids = np.fromiter(map(auto.vocabulary.get, words, repeat(-1)), np.int32, len(words))
     # a word that no item has, or a text's end, leads back to the root: only runs of known words are streamed
     known = ids >= 0
@@ -172,40 +257,74 @@ def _texts_hits(raw: bytes, off: np.ndarray, auto: Automaton) -> tuple[np.ndarra
     begin = np.flatnonzero(known & (edge[:-1] | ~np.concatenate(([False], known[:-1]))))
     end = np.flatnonzero(known & (edge[1:] | ~np.concatenate((known[1:], [False])))) + 1
     long = end - begin >= auto.least
+    at, size, where, item = auto.hits(ids, begin[long], end[long])
     out: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-    for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True):
-        spans, items = auto.hits(ids[a:b].tolist())
-        if spans:
-            d = int(np.searchsorted(first, a, "right")) - 1
-            have = out.setdefault(d, ([], set()))
-            have[0].extend((x + a - int(first[d]), y + a - int(first[d])) for x, y in spans)
-            have[1].update(items)
+    if len(at):
+        inside = np.zeros(len(ids) + 1, np.int64)
+        np.add.at(inside, at - size + 1, 1)
+        np.add.at(inside, at + 1, -1)
+        hit = np.cumsum(inside[:-1]) > 0
+        # a text's first word begins a span of its own
+        a = np.flatnonzero(hit & (edge[:-1] | ~np.concatenate(([False], hit[:-1]))))
+        b = np.flatnonzero(hit & (edge[1:] | ~np.concatenate((hit[1:], [False])))) + 1
+        for d, x, y in zip((np.searchsorted(first, a, "right") - 1).tolist(), a.tolist(), b.tolist(), strict=True):
+            out.setdefault(d, ([], set()))[0].append((x - int(first[d]), y - int(first[d])))
+        have = np.unique(np.stack([np.searchsorted(first, where, "right") - 1, item], axis=1), axis=0)
+        for d, i in have.tolist():
+            out[d][1].add(auto.names[i])
     return np.diff(first), out
 
 
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
-def _mapper(items: list[tuple[str, list[bytes]]], text_col: str):
+def _columns(spans: list[list[tuple[int, int]]], names: list[list[str]]) -> list[pa.Array]:
+    return [pa.array([[{"first": p, "last": q} for p, q in s] for s in spans], _SPANS), pa.array(names, pa.list_(pa.string()))]
+
+
+def _mapper(auto: Automaton, text_col: str):
+    """Adds n_words, hit_spans and hit_items."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = Automaton(items)
         for b in batches:
             data, off = text_buffers(b.column(text_col))
-            counts, spans, names = [], [None] * b.num_rows, [None] * b.num_rows
             for i, j in slices(off):
                 n, hits = _texts_hits(data[off[i] : off[j]].tobytes(), off[i : j + 1] - off[i], auto)
-                counts.append(n)
-                for d, (s, x) in hits.items():
-                    spans[i + d], names[i + d] = s, x
-            if "hit_spans" in b.schema.names:  # what earlier blocks found
-                for i, (s, x) in enumerate(zip(b.column("hit_spans").to_pylist(), b.column("hit_items").to_pylist(), strict=True)):
-                    if s:
-                        spans[i] = _merged([(y["first"], y["last"]) for y in s] + (spans[i] or []))
-                        names[i] = (names[i] or set()) | set(x)
-            kept = [c for c in b.schema.names if c not in ("n_words", "hit_spans", "hit_items")]
-            rows = [[{"first": p, "last": q} for p, q in s] if s else [] for s in spans]
-            new = [pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(rows, _SPANS), pa.array([sorted(x) if x else [] for x in names], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *new], [*kept, "n_words", "hit_spans", "hit_items"])
+                part = b.slice(i, j - i)
+                got = [hits.get(k, ([], ())) for k in range(j - i)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64()), *_columns([s for s, _ in got], [sorted(x) for _, x in got])], [*part.schema.names, "n_words", "hit_spans", "hit_items"])
+
+    return run
+
+
+def _finder(auto: Automaton):
+    """_text_id, hit_spans, hit_items of the texts with hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = text_buffers(b.column("_text"))
+            for i, j in slices(off):
+                _, hits = _texts_hits(data[off[i] : off[j]].tobytes(), off[i : j + 1] - off[i], auto)
+                if hits:
+                    at = sorted(hits)
+                    ids = b.column("_text_id").take(pa.array([i + k for k in at]))
+                    yield pa.RecordBatch.from_arrays([ids, *_columns([hits[k][0] for k in at], [sorted(hits[k][1]) for k in at])], ["_text_id", "hit_spans", "hit_items"])
+
+    return run
+
+
+def _joiner(text_col: str):
+    """n_words, and the hits of all blocks put together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = text_buffers(b.column(text_col))
+            n = [np.diff(_words(data[off[i] : off[j]].tobytes(), off[i : j + 1] - off[i])[1]) for i, j in slices(off)]
+            spans = [_merged([(y["first"], y["last"]) for y in s or ()]) for s in b.column("_spans").to_pylist()]
+            kept = [c for c in b.schema.names if c not in ("_spans", "_items")]
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in kept), pa.array(np.concatenate(n) if n else [], pa.int64()), *_columns(spans, [sorted(set(x or ())) for x in b.column("_items").to_pylist()])], [*kept, "n_words", "hit_spans", "hit_items"]
+            )
 
     return run
 
@@ -225,22 +344,45 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     A null or empty text has no words and no hits; a null or empty item has no
     window; a null item_id is the empty id; rows of equal item_id are one item.
-    Columns of ``docs`` that are named like the new ones are replaced. Repeated
-    rows get equal results, an empty table of either kind none or no hits.
+    Columns of ``docs`` that are named like the new ones are replaced, and columns
+    named _text_id, _spans and _items are dropped. Repeated rows get equal results, an empty table of either kind none or no hits.
+
+    Each block's automaton is made once, by the driver, and sent to the tasks (its
+    size follows ``block_bytes``). Of several blocks each reads the texts in a pass
+    of its own, so a worker holds one; only hits, once a text, are written and joined.
     """
-    out = docs.drop("n_words", "hit_spans", "hit_items")
-    new = StructType.fromDDL("n_words bigint, hit_spans array<struct<first:bigint,last:bigint>>, hit_items array<string>")
-    schema = StructType([*out.schema.fields, *new.fields])
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    out = docs.drop("n_words", "hit_spans", "hit_items", "_text_id", "_spans", "_items")
+    new = "hit_spans array<struct<first:bigint,last:bigint>>, hit_items array<string>"
+    schema = StructType([*out.schema.fields, *StructType.fromDDL(f"n_words bigint, {new}").fields])
+    text_id = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    parts, auto = [], None
     for items in blocks(benchmark, block_bytes):
-        out = out.mapInArrow(tidy(_mapper(items, text_col)), schema)
-    return out
+        if auto is not None:
+            parts.append(_block_hits(out, text_col, text_id, auto, new, len(parts)))
+        auto = Automaton(items)
+    if not parts:
+        return out.mapInArrow(tidy(_mapper(auto, text_col)), schema)
+    parts.append(_block_hits(out, text_col, text_id, auto, new, len(parts)))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    found = found.groupBy("_text_id").agg(F.flatten(F.collect_list("hit_spans")).alias("_spans"), F.flatten(F.collect_list("hit_items")).alias("_items"))
+    joined = out.select("*", text_id.alias("_text_id")).join(found, "_text_id", "left").drop("_text_id")
+    return joined.mapInArrow(tidy(_joiner(text_col)), schema)
+
+
+def _block_hits(docs: DataFrame, text_col: str, text_id: Column, auto: Automaton, new: str, k: int) -> DataFrame:
+    rows = docs.select(text_id.alias("_text_id"), F.col(text_col).alias("_text"))
+    return materialise(rows.mapInArrow(tidy(_finder(auto)), f"_text_id string, {new}").dropDuplicates(["_text_id"]), f"block{k}")
 
 
-def n_hit() -> F.Column:
+def n_hit() -> Column:
     return F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda a, s: a + s["last"] - s["first"])
 
 
-def contaminated() -> F.Column:
+def contaminated() -> Column:
     return (n_hit() > 0) & (n_hit() * COVERAGE >= F.col("n_words"))
 
 
