@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import shared_dir, table, tidy
+from quillspan.llm.common import materialise, shared_dir, table, tidy
 
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -32,6 +32,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 LEAST_BYTES = 0
+#: Bits of the table of repeated digests, as a power of two.
+BITS = 24
 
 
 def base32(hex40: Column) -> Column:
@@ -40,6 +42,14 @@ def base32(hex40: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def _repeated(counts: DataFrame) -> DataFrame:
+    """word, bits: a table of 2**BITS bits that has every digest of ``counts`` (payload_sha256), and lets a few others through."""
+    h = F.xxhash64("payload_sha256")
+    bit = F.shiftrightunsigned(h, 64 - BITS).bitwiseAND(63).cast("int")
+    rows = counts.select(F.shiftrightunsigned(h, 64 - BITS + 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("bits"))
+    return rows.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_bytes: int = LEAST_BYTES) -> None:
     """Write the archive of ``pages`` into the folder ``path``.
 
@@ -49,21 +59,33 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     repeated with that id is a response each time. An empty table gives empty
     tables. Other columns aren't read. Equal SHA-256 with another SHA-1 or length
     stops the job.
+
+    A first scan writes what is said of each payload. Payloads that are there once
+    go from the second scan to the store as they are; the others are combined in
+    each task before they are shuffled. A table of 2**BITS bits tells them apart: it
+    is sent to the tasks, its size doesn't depend on the rows, and what it takes for
+    repeated is only shuffled in vain.
     """
     spark = pages.sparkSession
     body = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("bigint").alias("record_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), body.alias("payload"))
-    rows = rows.select("record_id", "url", "payload", F.sha2("payload", 256).alias("payload_sha256"), F.sha1("payload").alias("sha1"), F.length("payload").alias("n"))
-    # partial aggregation keeps one payload a task for each digest, so a page copied a million times moves once a task
+    rows = pages.select(F.col(id_col).cast("bigint").alias("record_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), body.alias("payload")).withColumn("payload_sha256", F.sha2("payload", 256))
+    said = materialise(rows.select("record_id", "url", "payload_sha256", F.sha1("payload").alias("sha1"), F.length("payload").alias("n")), "said")
     other = lambda c: F.min(c) != F.max(c)
-    store = rows.groupBy("payload_sha256").agg(
-        F.min(F.struct(F.col("record_id").isNotNull().alias("known"), "record_id")).alias("first"), F.first("payload").alias("payload"), (other("sha1") | other("n")).alias("clash")
-    )
-    fail = F.raise_error(F.concat(F.lit("two payloads have the SHA-256 "), "payload_sha256")).cast("binary")
-    store.select("payload_sha256", F.col("first.record_id").alias("first_id"), F.when(F.col("clash"), fail).otherwise(F.col("payload")).alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
-
-    firsts = spark.read.parquet(f"{path}/payloads").select("payload_sha256", "first_id")
-    h = rows.drop("payload").join(firsts, "payload_sha256")
+    fail = F.raise_error(F.concat(F.lit("two payloads have the SHA-256 "), "payload_sha256")).cast("bigint")
+    first = F.min(F.struct(F.col("record_id").isNotNull().alias("known"), "record_id"))
+    firsts = said.groupBy("payload_sha256").agg(first.alias("first"), F.count("*").alias("copies"), (other("sha1") | other("n")).alias("clash"))
+    firsts = materialise(firsts.select("payload_sha256", F.when(F.col("clash"), fail).otherwise(F.col("first.record_id")).alias("first_id"), "copies"), "firsts")
+
+    again = F.broadcast(_repeated(firsts.where("copies > 1")))
+    h = F.xxhash64("payload_sha256")
+    body = rows.select("record_id", "payload_sha256", "payload", F.shiftrightunsigned(h, 64 - BITS + 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 64 - BITS).bitwiseAND(63).cast("int")).alias("own"))
+    body = body.join(again, "word", "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("own")), F.lit(0)) != 0)
+    once = body.where(~F.col("maybe")).select("payload_sha256", F.col("record_id").alias("first_id"), "payload")
+    more = body.where("maybe").groupBy("payload_sha256").agg(first.alias("first"), F.first("payload").alias("payload"))
+    more = more.select("payload_sha256", F.col("first.record_id").alias("first_id"), "payload")
+    once.unionByName(more).write.option("compression", "zstd").parquet(f"{path}/payloads")
+
+    h = said.join(firsts, "payload_sha256")
     revisit = (F.col("n") >= least_bytes) & ~F.col("record_id").eqNullSafe(F.col("first_id"))
     kind = F.when(revisit, "revisit").otherwise("response")
     h = h.select("*", kind.alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
@@ -91,10 +113,10 @@ def _headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, record (binary): every original record, byte for byte."""
-    h = _headers(spark, path)
-    own = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return h.join(payload_store(spark, path), "payload_sha256").select("record_id", F.concat("header", own, F.lit((CRLF * 2).encode())).alias("record"))
+    """record_id, record (binary): every original record, byte for byte. Only responses meet the payloads."""
+    h, end = _headers(spark, path), F.lit((CRLF * 2).encode())
+    own = h.where("record_type = 'response'").join(payload_store(spark, path), "payload_sha256").select("record_id", F.concat("header", "payload", end).alias("record"))
+    return own.unionByName(h.where("record_type <> 'response'").select("record_id", F.concat("header", end).alias("record")))
 
 
 def field(block: Column, name: str) -> Column:
@@ -103,18 +125,25 @@ def field(block: Column, name: str) -> Column:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to: parsed from the header blocks, sizes and digests from the stored bytes.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, read from the original records.
 
-    What a payload says of itself (bytes, SHA-1) is worked out once a payload, and only that goes through the join.
+    A response's size and digest are those of its content, which must be as long as
+    its header says and have the digest that it says; a revisit has those of the
+    response with its digest.
     """
-    facts = payload_store(spark, path).select("payload_sha256", F.length("payload").cast("bigint").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"))
-    block = F.col("block")
+    head = F.substring_index(F.col("record").cast("string"), CRLF * 2, 1)
+    r = read_records(spark, path).select("record", F.concat(head, F.lit(CRLF)).alias("block"), (F.octet_length(head) + 4).alias("at"))
+    r = r.select("block", F.octet_length("record").alias("size"), "at", field(F.col("block"), "Content-Length").cast("int").alias("n"), "record")
+    r = r.select("block", "n", (F.col("size") == F.col("at") + F.col("n") + 4).alias("whole"), F.substr("record", F.col("at") + 1, F.col("n")).alias("content"))
     number = lambda c: F.nullif(F.regexp_extract(c, "<urn:record:(-?[0-9]*)>", 1), F.lit("")).cast("bigint")
-    h = _headers(spark, path).select("payload_sha256", F.decode("header", "UTF-8").alias("block"))
-    h = h.select("payload_sha256", number(field(block, "WARC-Record-ID")).alias("page_id"), field(block, "WARC-Type").alias("record_type"), number(field(block, "WARC-Refers-To")).alias("refers_to"), F.substring(field(block, "WARC-Payload-Digest"), 6, 32).alias("said"))
-    wrong = F.raise_error(F.concat(F.lit("the record and its payload disagree on the digest "), "said")).cast("string")
-    digest = F.when(F.col("said") == F.col("payload_digest"), F.col("said")).otherwise(wrong)
-    return h.join(facts, "payload_sha256").select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+    block, kind = F.col("block"), field(F.col("block"), "WARC-Type")
+    said = F.substring(field(block, "WARC-Payload-Digest"), 6, 32)
+    wrong = F.raise_error(F.concat(F.lit("the record and its payload disagree: "), block)).cast("string")
+    digest = F.when(F.col("whole") & ((kind != "response") | (said == base32(F.sha1("content")))), said).otherwise(wrong)
+    parsed = r.select(number(field(block, "WARC-Record-ID")).alias("page_id"), F.when(kind == "response", F.col("n").cast("bigint")).alias("own_bytes"), digest.alias("payload_digest"), kind.alias("record_type"), number(field(block, "WARC-Refers-To")).alias("refers_to"))
+    parsed = materialise(parsed, "records")
+    sizes = parsed.where("own_bytes IS NOT NULL").groupBy("payload_digest").agg(F.max("own_bytes").alias("payload_bytes"))
+    return parsed.join(sizes, "payload_digest", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def parse_records(raw: bytes) -> Iterator[tuple[int, bytes, bytes]]:
