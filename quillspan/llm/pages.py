@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import materialise, table, tidy
+from quillspan.llm.common import bounded_batches, materialise, table, tidy
 
 #: Hosts whose winners are sent to every task (under 20 MB); more are joined.
 SENT_HOSTS = 100_000
@@ -29,6 +29,7 @@ SENT_HOSTS = 100_000
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NUMBER = re.compile(r"[0-9]+")
+_WORDS = re.compile(r"[^a-z0-9]+")
 #: Their content is no markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,18 +37,32 @@ CONTAINERS = frozenset("html body main article section div td center".split())
 #: Elements that break text into blocks.
 BLOCKS = CONTAINERS | frozenset("address aside blockquote br caption dd details dialog dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr legend li menu nav ol option p pre select summary table tbody tfoot th thead tr ul".split())
 TRACKED = BLOCKS - {"br", "hr"}
-#: Elements, and words of class, id and role, that mark what isn't main text.
+#: Elements that aren't main text; a header within an article is the article's own.
 SKIPPED = frozenset("nav header footer aside form head menu dialog button select".split())
+#: Words of class, id and role that mark what isn't main text, and words that only say where or how much of it there is.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer dialog "
     "footer header menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted recommended related reply replies search share sharing "
     "sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+PLAIN = frozenset(
+    "area articles bar block body bottom box button buttons container content field form global group holder inner item items left link links list main module outer page panel "
+    "posts primary right section secondary site slot text thread title top unit widgets wrap wrapper zone".split()
+)
 #: An opening tag of these ends an open paragraph.
 _ENDS_P = BLOCKS - {"br", "html", "head", "body"}
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
+def _noisy(names: str) -> bool:
+    """Whether one of some names says that an element isn't main text: a word of ``NOISE``, and no other than plain ones beside it."""
+    for name in names.split():
+        words = [w for w in _WORDS.split(name) if w and not w.isdigit()]
+        if not NOISE.isdisjoint(words) and all(w in NOISE or w in PLAIN for w in words):
+            return True
+    return False
+
+
 class Page:
     """One reading of a page: the texts of its blocks with the containers that they stand in.
 
@@ -58,7 +73,7 @@ class Page:
     def __init__(self, source: str):
         self.paths, self.parents = [""], [-1]
         self.texts: list[tuple[int, str, bool] | None] = []
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, skipped
+        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, skipped, within an article
         link, at, put = 0, 0, self.texts.append
         lower = None
         for m in _TAG.finditer(source):
@@ -75,12 +90,15 @@ class Page:
             if m[1]:
                 if tag == "a":
                     link = max(0, link - 1)
-                elif tag in TRACKED:
+                block = tag in TRACKED
+                if block:
                     put(None)
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] == tag:
-                            del stack[i:]
-                            break
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] == tag:
+                        del stack[i:]
+                        break
+                    if not block and stack[i][0] in TRACKED:
+                        break  # the end of an inline element ends no block
                 continue
             if tag in RAW:
                 lower = lower if lower is not None else _lowered(source)
@@ -89,31 +107,35 @@ class Page:
                 continue
             if tag == "a":
                 link = 1  # links don't nest
-                continue
-            if tag not in BLOCKS:
+            block = tag in BLOCKS
+            names, noisy = [], tag in SKIPPED
+            if m[3] and tag not in VOID:
+                for key, a, b, c in _ATTRIBUTE.findall(m[3]):
+                    value = (a or b or c).lower()
+                    noisy = noisy or (tag not in ("html", "body") and _noisy(value))
+                    if key.lower() == "class":
+                        names += sorted(_NUMBER.sub("#", x) for x in value.split())
+            if not block:
+                if noisy and tag not in VOID:
+                    stack.append((tag, stack[-1][1], True, stack[-1][3]))
                 continue
             put(None)
             if tag not in TRACKED or m[3].endswith("/") and tag in VOID:
                 continue
+            while stack[-1][0] not in TRACKED and len(stack) > 1:
+                stack.pop()  # a block ends what is open of inline elements
             if tag in _ENDS_P and stack[-1][0] == "p":
                 stack.pop()
             if tag in _SAME and stack[-1][0] in _SAME[tag]:
                 stack.pop()
-            _, box, skipped = stack[-1]
-            names = []
-            if m[3]:
-                for key, a, b, c in _ATTRIBUTE.findall(m[3]):
-                    words = re.split(r"[^a-z0-9]+", (a or b or c).lower())
-                    if tag not in ("html", "body"):
-                        skipped = skipped or not NOISE.isdisjoint(words)
-                    if key.lower() == "class":
-                        names += sorted(_NUMBER.sub("#", x) for x in (a or b or c).lower().split())
-            skipped = skipped or tag in SKIPPED
-            if tag in CONTAINERS:
+            _, box, skipped, article = stack[-1]
+            skipped = skipped or noisy and not (tag == "header" and article)
+            # sections of an article, and what has no name in it, are the article itself
+            if tag in CONTAINERS and not (article and (tag == "section" or tag == "div" and not names)):
                 self.paths.append(f"{self.paths[box]}/{'.'.join([tag, *names])}")
                 self.parents.append(box)
                 box = len(self.paths) - 1
-            stack.append((tag, box, skipped))
+            stack.append((tag, box, skipped, article or tag == "article"))
         if at < len(source) and not stack[-1][2]:
             put((stack[-1][1], source[at:], link > 0))
 
@@ -140,8 +162,9 @@ class Page:
         inside = [False] * len(self.paths)
         for i, p in enumerate(self.paths):
             inside[i] = p == path or self.parents[i] >= 0 and inside[self.parents[i]]
-        raw = "".join("\n" if t is None else t[1] if inside[t[0]] else "" for t in self.texts)
-        return " ".join(html.unescape(raw).split())
+        # a reference is one within a text, not over the tags between two
+        raw = "".join("\n" if t is None else html.unescape(t[1]) if inside[t[0]] else "" for t in self.texts)
+        return " ".join(raw.split())
 
 
 def _lowered(s: str) -> str:
@@ -189,6 +212,7 @@ def extract_main_text(pages: DataFrame, sent_hosts: int = SENT_HOSTS) -> DataFra
     comes back for each row, repeated ones too; an empty table gives an empty one.
     Of the columns only page_id, url and html are read.
     """
+    bounded_batches(pages.sparkSession)
     winners = materialise(host_paths(pages).select("host", "path"), "host-paths")
     few = winners.count() <= sent_hosts
     rows = _prepared(pages).join(F.broadcast(winners) if few else winners, "host", "left")
