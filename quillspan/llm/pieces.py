@@ -9,7 +9,9 @@ is contracted until none is left. That is byte-pair encoding as defined, so ids
 equal those of the library. What has no piece falls back to bytes.
 
 A segment is a run of blanks and the word after it: no piece reaches over a word's
-end (checked when the vocabulary is read; else a text is one segment).
+end (checked when the vocabulary is read; else a text is one segment). Within a
+segment, edges never join what stands on two sides of a place that no edge spans,
+so a long segment falls into parts there, and memory doesn't follow its length.
 
 Texts are independent: nothing is shuffled, and memory follows a slice, not a batch.
 """
@@ -20,7 +22,7 @@ import hashlib
 import heapq
 import re
 import struct
-from collections import defaultdict
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -30,18 +32,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillspan.llm.common import slices, table, text_buffers, tidy
+from quillspan.llm.common import bounded_batches, slices, table, text_buffers, tidy, word_hashes
 
 #: The vocabulary file, read by the driver alone.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-SLICE_TEXT = 2 << 20
-#: Code points that one index holds; a longer single segment has an index of its own.
-INDEX = 1 << 18
+SLICE_TEXT = 1 << 20
+#: Code points that one index holds.
+INDEX = 1 << 17
 #: Segments from this length on are contracted with a heap.
 LONG = 64
 _NONE = np.iinfo(np.int32).max
-_SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _JOINED = re.compile(f"[^{BLANK}]{BLANK}")
 
 
@@ -191,31 +192,32 @@ def edges(x: np.ndarray, v: Vocabulary) -> np.ndarray:
 def _contract_long(table_: np.ndarray, rank: np.ndarray, a: int, b: int, size: np.ndarray) -> None:
     """Contract one segment with a heap; ``size`` gets the symbols' lengths, 0 inside a symbol."""
     most = len(table_)
-    after, before = {}, {}
-    for i in range(a, b):
-        after[i], before[i] = i + 1, i - 1
-    heap: list[tuple[int, int, int, int]] = []
+    after, before = array("q", range(a + 1, b + 1)), array("q", range(a - 1, b - 1))
+    heap: list[int] = []
+    bits = most.bit_length()
+    low = (1 << bits) - 1
 
     def offer(i: int) -> None:
-        j = after.get(i, b)
+        j = after[i - a]
         if j < b and size[i] + size[j] <= most:
             p = table_[size[i] + size[j] - 1, i]
-            if p >= 0:
-                heapq.heappush(heap, (int(rank[p]), i, int(size[i]), int(size[j])))
+            if p >= 0:  # score, place and both lengths as one number
+                heapq.heappush(heap, (((int(rank[p]) << 40 | i) << bits | int(size[i])) << bits) | int(size[j]))
 
     for i in range(a, b - 1):
         offer(i)
     while heap:
-        _, i, n, m = heapq.heappop(heap)
-        j = after.get(i, b)
+        x = heapq.heappop(heap)
+        i, n, m = (x >> 2 * bits) & ((1 << 40) - 1), (x >> bits) & low, x & low
+        j = after[i - a]
         if size[i] != n or j >= b or size[j] != m:
             continue
         size[i], size[j] = n + m, 0
-        after[i] = after[j]
-        if after[j] < b:
-            before[after[j]] = i
-        if before[i] >= a:
-            offer(before[i])
+        after[i - a] = after[j - a]
+        if after[j - a] < b:
+            before[after[j - a] - a] = i
+        if before[i - a] >= a:
+            offer(before[i - a])
         offer(i)
 
 
@@ -249,52 +251,96 @@ def _contract(table_: np.ndarray, rank: np.ndarray, bounds: np.ndarray) -> np.nd
     return size
 
 
-def _encode_segments(segments: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all segments one after the other, and where each segment's begin."""
-    out, counts = [], []
-    upto = np.concatenate(([0], np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))))
-    for i, j in slices(upto, INDEX):
-        code = np.frombuffer("".join(segments[i:j]).encode("utf-32-le", "surrogatepass"), "<u4")
-        bounds = upto[i : j + 1] - upto[i]
-        found = edges(v.codes[code], v)
-        size = _contract(found, v.rank, bounds)
-        at = np.flatnonzero(size)
-        ids = found[size[at] - 1, at]
-        cp = code[at].astype(np.int64)
-        width = np.where(ids >= 0, 1, 1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000))
-        ends = np.cumsum(width)
-        flat = np.repeat(ids, width)
-        nth = np.arange(len(flat)) - np.repeat(ends - width, width)
-        raw = np.flatnonzero(flat < 0)
-        if len(raw):
-            c, w = (np.repeat(y, width)[raw] for y in (cp, width))
-            rest = w - 1 - nth[raw]  # bytes that follow
-            lead = np.where(w == 1, c, (c >> (6 * (w - 1))) | np.array([0, 0, 0xC0, 0xE0, 0xF0])[w])
-            flat[raw] = v.byte_ids[np.where(nth[raw] == 0, lead, 0x80 | ((c >> (6 * rest)) & 0x3F))]
-        out.append(flat)
-        counts.append(np.diff(np.concatenate(([0], ends))[np.searchsorted(at, bounds)]))
-    flat = np.concatenate(out) if out else np.zeros(0, np.int32)
-    return flat, np.concatenate(([0], np.cumsum(np.concatenate(counts)))) if counts else np.zeros(1, np.int64)
+def _cuts(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Places that no piece reaches over, and ``bounds``: what stands between two of them is contracted by itself."""
+    n = found.shape[1]
+    over = np.zeros(n + 1, np.int32)
+    for k in range(1, len(found)):
+        at = np.flatnonzero(found[k] >= 0)
+        over[at + 1] += 1
+        over[np.minimum(at + k + 1, n)] -= 1
+    free = np.cumsum(over) == 0
+    free[bounds] = True
+    return np.flatnonzero(free)
+
+
+def _encode_segments(code: np.ndarray, bounds: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all segments one after the other, and where each segment's begin.
+
+    An index holds ``INDEX`` code points and ends where no piece reaches over, so a
+    segment of any length is taken in parts; only a longer stretch without such a
+    place has an index of its own.
+    """
+    most = int(v.lengths.max())
+    places, out = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    at, size = 0, INDEX
+    while at < len(code):
+        end = min(at + size, len(code))
+        x = code[at:end]
+        found = edges(v.codes[x], v)
+        own = bounds[np.searchsorted(bounds, at) : np.searchsorted(bounds, end, "right")] - at
+        cuts = _cuts(found, np.append(own, 0))
+        if end < len(code):
+            # a piece that begins near the end may reach over it: only given bounds count there
+            cuts = cuts[(cuts <= len(x) - most) | np.isin(cuts, own)]
+        if len(cuts) < 2:
+            size *= 2
+            continue
+        width = int(cuts[-1])
+        lengths = _contract(found, v.rank, cuts)
+        here = np.flatnonzero(lengths)
+        places.append(here + at)
+        out.append(found[lengths[here] - 1, here])
+        at, size = at + width, INDEX
+    at, ids = np.concatenate(places), np.concatenate(out)
+    cp = code[at].astype(np.int64)
+    width = np.where(ids >= 0, 1, 1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000))
+    ends = np.cumsum(width)
+    flat = np.repeat(ids, width)
+    raw = np.flatnonzero(flat < 0)
+    if len(raw):
+        symbol = np.searchsorted(ends, raw, "right")
+        c, w = cp[symbol], width[symbol]
+        nth = raw - (ends[symbol] - w)
+        rest = w - 1 - nth  # bytes that follow
+        lead = np.where(w == 1, c, (c >> (6 * (w - 1))) | np.array([0, 0, 0xC0, 0xE0, 0xF0])[w])
+        flat[raw] = v.byte_ids[np.where(nth == 0, lead, 0x80 | ((c >> (6 * rest)) & 0x3F))]
+    return flat, np.concatenate(([0], ends))[np.searchsorted(at, bounds)]
+
+
+def _distinct(code: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A segment of each kind, and each segment's kind. Hashes that meet by chance leave all segments apart."""
+    _, one, kind = np.unique(word_hashes(code, first, last), return_index=True, return_inverse=True)
+    size = last - first
+    if (size == size[one][kind]).all():
+        shift = np.repeat(first[one][kind] - first, size)
+        if (code == code[np.arange(len(code)) + shift]).all():
+            return one, kind
+    return np.arange(len(first)), np.arange(len(first))
 
 
 def encode_texts(texts: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other (int32), and offsets; an empty text has none."""
-    number: defaultdict[str, int] = defaultdict()
-    number.default_factory = number.__len__
-    uses: list[int] = []
-    ends = []
-    for t in texts:
-        if t:
-            t = BLANK + t.replace(" ", BLANK)
-            found = _SEGMENT.findall(t) if v.segmented else [t]
-            uses.extend(map(number.__getitem__, found))
-        ends.append(len(uses))
-    flat, at = _encode_segments(list(number), v)
-    use = np.array(uses, np.int64)
-    n = np.diff(at)[use]
+    code = np.frombuffer("".join(BLANK + t.replace(" ", BLANK) for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32)
+    upto = np.concatenate(([0], np.cumsum(np.fromiter((len(t) + 1 if t else 0 for t in texts), np.int64, len(texts)))))
+    if not len(code):
+        return np.zeros(0, np.int32), upto
+    start = np.zeros(len(code) + 1, bool)
+    start[upto] = True
+    if v.segmented:
+        blank = code == ord(BLANK)
+        start[1:-1] |= blank[1:] & ~blank[:-1]
+    start[-1] = False
+    first = np.flatnonzero(start)
+    last = np.append(first[1:], len(code))
+    one, kind = _distinct(code, first, last)
+    size = (last - first)[one]
+    bounds = np.concatenate(([0], np.cumsum(size)))
+    flat, at = _encode_segments(code[np.repeat(first[one] - bounds[:-1], size) + np.arange(bounds[-1])], bounds, v)
+    n = np.diff(at)[kind]
     total = np.concatenate(([0], np.cumsum(n)))
-    ids = flat[np.repeat(at[:-1][use] - total[:-1], n) + np.arange(total[-1])]
-    return ids.astype(np.int32), total[np.concatenate(([0], np.array(ends, np.int64)))]
+    ids = flat[np.repeat(at[:-1][kind] - total[:-1], n) + np.arange(total[-1])]
+    return ids.astype(np.int32, copy=False), total[np.searchsorted(first, upto)]
 
 
 def decode_ids(ids: list[int], v: Vocabulary) -> str:
@@ -326,6 +372,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 col = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*part.columns, col], [*part.schema.names, "ids"])
 
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("ids")
     return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, *StructType.fromDDL("ids array<int>").fields]))
 
@@ -358,5 +405,6 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                     same.append(d == t)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, len(texts)), pa.array(np.diff(off)), pa.array(sha), pa.array(back), pa.array(same)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint"), "text")
     return docs.mapInArrow(tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean")
