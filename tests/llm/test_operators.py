@@ -1,8 +1,10 @@
 """Edge cases and brute force on small fixtures, a section for each operator."""
 
 import hashlib
+import html
 import random
 import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -142,8 +144,19 @@ def test_substrings_brute_force(spark):
         rows.append((i, rnd.choice([" ", "\n", "  "]).join(t)))
     rows += [(100, None), (101, ""), (102, " ".join(["same"] * 100)), (103, " ".join(["same"] * 30))]
     df = spark.createDataFrame(rows, DOCS).repartition(5)
-    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in substrings.remove_repeats(df).collect()}
-    assert got == substrings.brute_force(rows)
+    for hot in (substrings.HOT, 3, 1):  # common anchors' windows one by one
+        got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in substrings.remove_repeats(df, hot).collect()}
+        assert got == substrings.brute_force(rows)
+
+
+def test_substrings_hot_anchor(spark):
+    """An anchor with 100 000 contexts: its windows pass in order, nothing of it is gathered."""
+    head, rest = "a b c d e f", " ".join(f"k{i}" for i in range(13))
+    rows = [(i, f"{head} {rest} x{i % 60_000}") for i in range(100_000)]
+    df = spark.createDataFrame(rows, DOCS).repartition(8)
+    for hot in (substrings.HOT, 4):
+        got = dict(substrings.remove_repeats(df, hot).groupBy("n_removed").count().collect())
+        assert got == {0: 60_000, 20: 40_000}
 
 
 def test_substrings_edges(spark):
@@ -185,13 +198,13 @@ PAGES = "page_id bigint, url string, html string"
 
 
 def test_pages_noise(spark):
-    html = (
+    page = (
         "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a='</p><p>no';</script></head><body class='x comments-open'>"
         "<header><h1>Site</h1></header><nav><a href=/>menu</a></nav><div class='cookie-notice'>we use cookies</div><!-- no <p>x</p> -->"
         "<div class='post-12'><h1>A&amp;B</h1><p>one\n two<br>three <b>bo</b>ld<p>&lt;four&gt; &#233;<form>mail<input></form><aside>side</aside>"
         "<ul><li>five<li>six</ul><div class='ads'>buy</div></div><section id=comments><p>nice post, I liked it very much indeed</p></section><footer>foot</footer></body></html>"
     )
-    got = pages.extract_main_text(spark.createDataFrame([(1, "http://h.example/1", html)], PAGES)).first()
+    got = pages.extract_main_text(spark.createDataFrame([(1, "http://h.example/1", page)], PAGES)).first()
     assert got.text == "A&B one two three bold <four> é five six"
 
 
@@ -205,6 +218,106 @@ def test_pages_consensus(spark):
     assert joined == got
 
 
+def test_pages_inline_headers_and_names(spark):
+    page = (
+        "<body><div class='site-header'>Site</div><article class='notice-board'><header><h1>Own title</h1></header><p>lead <button>Buy</button>text <span class='share-links'>tweet</span>goes on "
+        "<select><option>x</select>here</p><section><p class='related-work'>first part</p></section><section><h2>Second</h2><p>a &<b>lt;</b> b &lt; c</p></section>"
+        "<div class='comment-list'>me too</div><footer>by me</footer></article><div class='ad-slot'>buy</div></body>"
+    )
+    got = pages.extract_main_text(spark.createDataFrame([(1, "http://h.example/1", page)], PAGES)).first()
+    assert got.text == "Own title lead text goes on here first part Second a &lt; b < c"
+
+
+def test_pages_votes_that_tie_and_long_pages(spark):
+    same = "<body><div class='b'><p>one two</p></div><div class='a'><p>six ten</p></div></body>"
+    long = "<body><article><p>" + "</p><p>".join(f"word{i} &amp; more" for i in range(200_000)) + "</p></article></body>"
+    got = {r.page_id: r.text for r in pages.extract_main_text(spark.createDataFrame([(1, "http://t.example/", same), (2, "http://l.example/", long)], PAGES)).collect()}
+    assert got[1] == "one two"  # of equal votes the last path by name
+    assert got[2] == " ".join(f"word{i} & more" for i in range(200_000))
+
+
+class Tree(HTMLParser):
+    """A page as a tree of (tag, names, noisy, children); a child is a node or a text."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=False)
+        self.root = ["", [], False, []]
+        self.open = [self.root]
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attributes):
+        if tag in pages.TRACKED:
+            for ended in (["p"] if tag in pages._ENDS_P else [], pages._SAME.get(tag, ())):
+                if self.open[-1][0] in ended:
+                    self.open.pop()
+        names = dict(attributes)
+        node = [tag, sorted(re.sub("[0-9]+", "#", x) for x in (names.get("class") or "").lower().split()), any(pages._noisy((names.get(k) or "").lower()) for k in ("class", "id", "role")), []]
+        self.open[-1][3].append(node)
+        if tag in pages.TRACKED:
+            self.open.append(node)
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.open[-1][3].append(["/a", [], False, []])
+        if tag in pages.TRACKED and any(n[0] == tag for n in self.open):
+            self.open[-1][3].append(["/", [], False, []])
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if self.lasttag not in ("script", "style") or self.open[-1][3] and self.open[-1][3][-1][0] not in ("script", "style"):
+            self.open[-1][3].append(data)
+
+    def handle_entityref(self, name):
+        self.open[-1][3].append(f"&{name};")
+
+    def handle_charref(self, name):
+        self.open[-1][3].append(f"&#{name};")
+
+
+def tree_texts(source):
+    """(path, parent path, text) of all texts that aren't skipped, by a walk over the tree; None ends a block."""
+    out, link = [], [False]
+
+    def walk(node, path, above, article):
+        for x in node[3]:
+            if isinstance(x, str):
+                out.append((path, above, x, link[0]))
+                continue
+            tag, names, noisy, _ = x
+            if tag in pages.BLOCKS or tag == "/":
+                out.append(None)
+            if tag in ("a", "/a"):
+                link[0] = tag == "a"
+            if tag not in pages.TRACKED or tag in ("script", "style") or (noisy and tag not in ("html", "body")) or tag in pages.SKIPPED and not (tag == "header" and article):
+                continue
+            own = tag in pages.CONTAINERS and not (article and (tag == "section" or tag == "div" and not names))
+            walk(x, *((f"{path}/{'.'.join([tag, *names])}", path) if own else (path, above)), article or tag == "article")
+
+    walk(Tree(source).root, "", None, False)
+    return out
+
+
+def test_pages_tree_walk(spark, sf_dir):
+    """Votes and texts of the table's pages by a plain walk over a parsed tree."""
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = [(r.page_id, re.sub("^[a-z]+://([^/?#]*).*", r"\1", (r.url or "").lower()), tree_texts(r.html or "")) for r in df.collect()]
+    votes = {}
+    for _, host, texts in rows:
+        for t in texts:
+            if t and not t[3]:
+                n = len(t[2].strip())
+                votes[host, t[0]] = votes.get((host, t[0]), 0) + 2 * n
+                if t[1] is not None:
+                    votes[host, t[1]] = votes.get((host, t[1]), 0) + n
+    best = {h: max((n, p) for (g, p), n in votes.items() if g == h)[1] for h in {h for h, _ in votes}}
+    got = {r.page_id: r.text for r in pages.extract_main_text(df).collect()}
+    for page, host, texts in rows:
+        inside = lambda p: p == best[host] or p.startswith(best[host] + "/")
+        assert got[page] == " ".join(html.unescape("".join("\n" if t is None else t[2] if inside(t[0]) else "" for t in texts)).split()), page
+
+
 def test_pages_edges(spark):
     rows = [(1, None, None), (2, "x", ""), (3, None, "<p>unclosed <b>bold"), (3, None, "<p>unclosed <b>bold"), (None, "not a url", "plain &lt; text"), (5, None, "</div></p>< x <3 " + "<div>" * 3000 + "deep"), (6, None, '<a href="x>never closed')]
     df = spark.createDataFrame([(*r, "z", "z") for r in rows], PAGES + ", host string, path string")
@@ -320,6 +433,50 @@ def test_disclosure_of_rare_values(spark):
         assert not any(spans[i] for i in range(1500))
 
 
+def test_disclosing_pairs_brute_force(spark):
+    """Counts of all disclosing pairs equal plain counting, at several thresholds; the scans' tables change nothing."""
+    rnd = random.Random(11)
+    words = ["Ana", "Rui", "x9", "77k", "sea", "İstanbul", "ΣΑΣ", "Straße", "a_b", "v1.2", "12/34", "ß", "day", "7", "e\u0301t", "𝒳y"]
+    texts = []
+    for i in range(400):
+        t = rnd.choice([" ", ", "]).join(rnd.choice(words) + rnd.choice(["", "", str(rnd.randint(0, 90))]) for _ in range(rnd.randint(0, 12)))
+        if i % 9 == 0:
+            t += rnd.choice([" a@b.cd ", " c@d.ef,", " 10.0.0.1 ", " +1 (234) 555-0000 x", " 4111 1111 1111 1111"]) + rnd.choice(words)
+        texts.append(t)
+    texts += [None, "", texts[0], texts[9]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOCS)
+    for d in (0.3, 0.6, 0.9):
+        got = {(r.entity, r.term): (r.ne, r.nt, r.net) for r in privacy.disclosing_terms(df, d).collect()}
+        assert got == privacy.brute_force(texts, d) and (d > 0.6 or got)
+    for d in (0.3, 0.6):
+        sent = {r.doc_id: r.pii_spans for r in privacy.find_personal_data(df, disclosure=d).collect()}
+        assert sent == {r.doc_id: r.pii_spans for r in privacy.find_personal_data(df, sent=0, disclosure=d).collect()}
+        terms = {t for _, t in privacy.brute_force(texts, d)}
+        found = {texts[k][s.start : s.end].lower() for k, x in sent.items() for s in x if s.kind == "term" and " " not in texts[k][s.start : s.end]}
+        assert found and {x for x in found if x in terms}
+
+
+def test_disclosure_without_the_value(spark):
+    """A term that gives a value away is a span in documents that don't have the value too."""
+    docs = [(i, f"the sea is calm on day {i % 50}") for i in range(70000)] + [(70001, "a@b.cd met kappa"), (70002, "kappa alone")]
+    df = spark.createDataFrame(docs, DOCS)
+    for sent in (privacy.SENT, 0):
+        out = {r.doc_id: [(s.kind, s.start, s.end) for s in r.pii_spans] for r in privacy.find_personal_data(df, sent=sent).where("doc_id > 70000").collect()}
+        assert out == {70001: [("email", 0, 6), ("term", 7, 10), ("term", 11, 16)], 70002: [("term", 0, 5)]}
+
+
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_terms_on_the_tables(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/sf{size}/documents.parquet")
+    texts = [r.text for r in docs.select("text").collect()]
+    got = {(r.entity, r.term): (r.ne, r.nt, r.net) for r in privacy.disclosing_terms(docs, 0.8).collect()}
+    assert got == privacy.brute_force(texts, 0.8)
+    found = privacy.find_personal_data(docs, disclosure=0.8)
+    assert (found.selectExpr("sum(size(filter(pii_spans, s -> s.kind = 'term'))) AS n").first().n > 0) == bool(got)
+    plain = {r.doc_id: [tuple(s) for s in r.pii_spans if s.kind != "term"] for r in found.select("doc_id", "pii_spans").collect()}
+    assert plain == {r.doc_id: [(k, a, z) for a, k, z in privacy.base_spans(r.text or "")] for r in docs.collect()}
+
+
 def test_privacy_edges(spark):
     assert all(r.pii_spans == [] for r in privacy.find_personal_data(edge_docs(spark)).collect())
     assert privacy.find_personal_data(empty(spark)).count() == 0
@@ -345,6 +502,20 @@ def test_automaton_brute_force():
         assert (int(n[0]), sum(b - a for a, b in spans), sorted(names)) == contamination.brute_force(t, items)
 
 
+def test_automaton_size():
+    """A block of 2 MB: arrays of some 50 bytes a state, right on planted windows; long and periodic runs too."""
+    rnd = random.Random(8)
+    items = [(str(i), [b"w%d" % rnd.randrange(20_000) for _ in range(40)]) for i in range(8000)] + [("p", [b"a", b"b"] * 300), ("s", [b"a", b"a", b"c"])]
+    auto = contamination.Automaton(items)
+    arrays = sum(x.nbytes for x in vars(auto).values() if isinstance(x, np.ndarray))
+    assert sum(len(w) + 1 for _, x in items for w in x) > 2_000_000 and arrays < 64 * len(auto.link)
+    words = [rnd.choice(items[rnd.randrange(8000)][1]) for _ in range(3000)] + items[7][1][3:20] + [b"a", b"b"] * 2000 + [b"a", b"a", b"c"] + items[9][1]
+    raw = b" ".join(words)
+    n, hits = contamination._texts_hits(raw, np.array([0, len(raw)]), auto)
+    assert n[0] == len(words) and hits[0][0] == [(3000, 7060)]
+    assert hits[0][1] == {"7", "9", "p", "s"}
+
+
 @pytest.mark.parametrize("block", [1 << 20, 40])
 def test_contamination_blocks(spark, block):
     items = [(i, " ".join(f"{c}{k}" for k in range(n))) for i, (c, n) in enumerate([("a", 20), ("b", 15), ("c", 3), ("d", 13)])] + [(None, None), (9, "")]
