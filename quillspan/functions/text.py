@@ -50,23 +50,35 @@ def norm_id(c: Column) -> Column:
     return F.when(t.rlike("^[0-9]+$"), F.regexp_replace(t, "^0+(?=[0-9])", "")).otherwise(t)
 
 
+BLOCK = 128
+
+
 def match_spans(c: Column, pattern: str) -> Column:
     """All matches of a Java pattern without empty matches: array of struct(first, last, piece), code points, end exclusive.
 
     The text is what stands between the matches and the matches; their lengths
-    add up to the offsets. Null gives an empty array.
+    add up to the offsets. Null gives an empty array. Matches are added up in blocks
+    of ``BLOCK``, because every step of a fold copies the array that it adds to.
     """
     text = F.coalesce(c, F.lit(""))
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.length(F.get(gaps, i)).alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,last:int,piece:string>>").alias("out"))
+    last_block = F.floor((F.size(pairs) - 1) / BLOCK).cast("int")
+    blocks = F.transform(F.filter(F.sequence(F.lit(-1), last_block, F.lit(1)), lambda i: i >= 0), lambda i: F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK)))
+    one = "array<struct<first:int,last:int,piece:string>>"
 
     def step(a: Column, x: Column) -> Column:
         first = a["at"] + x["g"]
         last = first + F.length(x["m"])
         return F.struct(last.alias("at"), F.array_append(a["out"], F.struct(first.alias("first"), last.alias("last"), x["m"].alias("piece"))).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+    def block(a: Column, x: Column) -> Column:
+        own = F.aggregate(x, F.struct(a["at"].alias("at"), F.array().cast(one).alias("out")), step)
+        # an array of one, so that the inner fold runs once
+        return F.get(F.transform(F.array(own), lambda r: F.struct(r["at"].alias("at"), F.array_append(a["out"], r["out"]).alias("out"))), F.lit(0))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{one}>").alias("out"))
+    return F.flatten(F.aggregate(blocks, start, block, lambda a: a["out"]))
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators.spans import _around, _chosen, alike
+
 VERSION = "1.2"
 SOURCE = "base"
 #: Overlap from which two citations of a document are one.
@@ -26,11 +30,26 @@ def parse_cells(cells: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return x.select(id_col, F.get(p, F.lit(0)).try_cast("int").alias("first"), F.get(p, F.lit(1)).try_cast("int").alias("last"), F.get(p, F.lit(2)).alias("label"), F.nullif(F.get(p, F.lit(3)), F.lit("")).alias("canonical_id"), F.get(p, F.lit(4)).try_cast("double").alias("confidence"))
 
 
+def _overlapping(rows: list[dict]) -> list[dict]:
+    """Spans with an earlier one that overlaps them by ``SAME``; rows are different and come by place."""
+    seen: dict[int, list[tuple[int, int]]] = {}
+    out = []
+    for x in rows:
+        a, z = x["first"], x["last"]
+        if z <= a:
+            continue
+        size = (z - a).bit_length()
+        if any(alike(a, z, y, SAME) for k in range(size - 2, size + 3) for y in _around(seen.get(k, []), a - 2**k if k > 0 else a, z)):
+            out.append(x)
+        insort(seen.setdefault(size, []), (a, z))
+    return out
+
+
 def violations(spans: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``spans`` (first, last, piece, kind, label, canonical_id, confidence) with errors: the rules that each breaks.
 
-    The rule on pairs looks at the furthest end before a span for a candidate and
-    joins candidates only.
+    The rule on pairs asks each document's spans, by place, for an earlier one of a
+    similar length nearby; of equal spans all but one break it.
     """
     t = docs.select(id_col, F.col(text_col).alias("_t"))
     s = spans.join(t, id_col, "left")
@@ -46,11 +65,11 @@ def violations(spans: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_c
         say(F.col("confidence").isNotNull() & (F.isnan("confidence") | ~F.col("confidence").between(0, 1)), "confianca fora de [0,1]"),
         say(F.col("_same") > 0, "sobreposicao"),
     ]
-    before = Window.partitionBy(id_col).orderBy("first", "last")
-    # an IoU of a half needs a common start to end of half the length: neighbours by place suffice once sorted spans are compared with all that reach them
-    reach = F.collect_list(F.struct("first", "last")).over(before.rowsBetween(Window.unboundedPreceding, -1))
-    near = lambda a: F.when(a["last"] > F.col("first"), (F.least(a["last"], F.col("last")) - F.col("first")) * 2 >= F.greatest(a["last"], F.col("last")) - a["first"]).otherwise(False)
-    s = s.withColumn("_same", F.size(F.filter(reach, near)))
+    again = Window.partitionBy(id_col, "first", "last").orderBy("first")
+    places = spans.select(id_col, "first", "last").where("first IS NOT NULL AND last IS NOT NULL").distinct()
+    near = _chosen(places, id_col, [F.col("first"), F.col("last")], ["first", "last"], _overlapping).withColumn("_near", F.lit(1))
+    s = s.withColumn("_n", F.when(F.col("last") > F.col("first"), F.row_number().over(again))).join(near, [id_col, "first", "last"], "left")
+    s = s.withColumn("_same", F.when((F.col("_n") > 1) | F.col("_near").isNotNull(), 1).otherwise(0)).drop("_n", "_near")
     return s.withColumn("errors", F.filter(F.array(*rules), lambda e: e.isNotNull())).drop("_t", "_same")
 
 

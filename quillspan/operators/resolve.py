@@ -26,7 +26,7 @@ def processes(found: DataFrame, identifiers: DataFrame) -> DataFrame:
     c = c.withColumn("inferred", inferred_court(F.col("cited_class"), F.col("key")))
     d = lookup.classify(lookup.owners(c, identifiers))
     lost = (F.col("key") == "") & (F.col("fields")["letters"] != "0")
-    path = F.when(lost, "processo:0cand:ocr_ambiguo").when((F.col("path") == "processo:0cand") & (F.col("fields")["letters"] >= "2"), "processo:0cand:ocr_sem_dono").otherwise(F.col("path"))
+    path = F.when(lost, "processo:0cand:ocr_ambiguo").when((F.col("path") == "processo:0cand") & (F.col("fields")["letters"].cast("int") >= 2), "processo:0cand:ocr_sem_dono").otherwise(F.col("path"))
     return _finish(d, found.columns, F.col("label"), path, F.col("canonical_id"))
 
 

@@ -35,9 +35,10 @@ def decoded(raw: bytes) -> tuple[str, str]:
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id (the file's name without suffix), text, encoding of the .txt files of a folder, any case; not of sub-folders.
 
-    Files whose names start with a dot are left out, by rule; Spark also leaves
-    out names that start with an underscore. Spark reads no rows from empty
-    files, so those come from its listing, with an empty text.
+    Files whose names start with a dot are left out, by rule. Spark passes over
+    names that start with an underscore, so the driver reads those, which are few.
+    Spark reads no rows from empty files, so those come from its listing, with an
+    empty text.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][xX][tT]").load(folder)
     named = files.select(F.regexp_extract("path", _STEM, 1).alias("doc_id"), "content")
@@ -50,7 +51,22 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     read = named.mapInArrow(run, "doc_id string, text string, encoding string")
     listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "path string").select(F.regexp_extract("path", _STEM, 1).alias("doc_id"))
     empty = listed.join(named.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit("").alias("text"), F.lit("utf-8").alias("encoding"))
-    return read.unionByName(empty)
+    hidden = [(name.rsplit(".", 1)[0], *decoded(raw)) for name, raw in _underscored(spark, folder)]
+    return read.unionByName(empty).unionByName(spark.createDataFrame(hidden, read.schema))
+
+
+def _underscored(spark: SparkSession, folder: str) -> Iterator[tuple[str, bytes]]:
+    """Names and bytes of the .txt files whose names start with an underscore, through Hadoop's file systems."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in store.listStatus(path):
+        name = status.getPath().getName()
+        if status.isFile() and name.startswith("_") and name.lower().endswith(".txt"):
+            stream = store.open(status.getPath())
+            try:
+                yield name, bytes(stream.readAllBytes())
+            finally:
+                stream.close()
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
