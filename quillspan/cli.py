@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 
 from quillspan.plans.verify import verify
 from quillspan.sources import files
+from quillspan.sources.shared import ship
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -25,7 +26,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--limit", type=int, help="only the first texts by name")
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.getOrCreate()
+    ship(spark)
     try:
+        files.probe_output(spark, a.output)
         docs = files.read_texts(spark, a.input)
         if a.limit:
             docs = docs.orderBy("doc_id").limit(a.limit)
@@ -38,7 +41,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         r = verify(docs, base, *other, table)
         files.write_outputs(r.outputs, f"{a.output}/documentos")
         files.write_trace(r.trace, f"{a.output}/rastro")
-    except (PySparkException, ValueError) as e:
+    except (PySparkException, OSError, ValueError) as e:
         print(str(e).splitlines()[0], file=sys.stderr)
         return 2
     return 0

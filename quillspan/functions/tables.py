@@ -1,4 +1,4 @@
-"""Table functions for SQL: ``LATERAL match_spans(text, pattern)`` and ``detect_citations(text)``."""
+"""A table function for SQL: ``LATERAL match_spans(text, pattern)``."""
 
 from __future__ import annotations
 

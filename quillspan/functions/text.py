@@ -62,23 +62,32 @@ def match_spans(c: Column, pattern: str) -> Column:
     """
     text = F.coalesce(c, F.lit(""))
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.length(F.get(gaps, i)).alias("g")))
-    last_block = F.floor((F.size(pairs) - 1) / BLOCK).cast("int")
-    blocks = F.transform(F.filter(F.sequence(F.lit(-1), last_block, F.lit(1)), lambda i: i >= 0), lambda i: F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK)))
+    # every match with what stands before it; the text's end comes last, without a match
+    zipped = F.arrays_zip(found, gaps).cast("array<struct<m:string,g:string>>")
     one = "array<struct<first:int,last:int,piece:string>>"
 
     def step(a: Column, x: Column) -> Column:
-        first = a["at"] + x["g"]
+        first = a["at"] + F.length(x["g"])
         last = first + F.length(x["m"])
         return F.struct(last.alias("at"), F.array_append(a["out"], F.struct(first.alias("first"), last.alias("last"), x["m"].alias("piece"))).alias("out"))
 
     def block(a: Column, x: Column) -> Column:
-        own = F.aggregate(x, F.struct(a["at"].alias("at"), F.array().cast(one).alias("out")), step)
-        # an array of one, so that the inner fold runs once
-        return F.get(F.transform(F.array(own), lambda r: F.struct(r["at"].alias("at"), F.array_append(a["out"], r["out"]).alias("out"))), F.lit(0))
+        own = F.aggregate(F.filter(x, lambda y: y["m"].isNotNull()), F.struct(a["at"].alias("at"), F.array().cast(one).alias("out")), step)
+        return _once(own, lambda r: F.struct(r["at"].alias("at"), F.array_append(a["out"], r["out"]).alias("out")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{one}>").alias("out"))
-    return F.flatten(F.aggregate(blocks, start, block, lambda a: a["out"]))
+    def whole(pairs: Column) -> Column:
+        # the text's end makes an element even without a match, so there is a block
+        last_block = F.floor((F.size(pairs) - 1) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last_block), lambda i: F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{one}>").alias("out"))
+        return F.flatten(F.aggregate(blocks, start, block, lambda a: a["out"]))
+
+    return _once(zipped, whole)
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

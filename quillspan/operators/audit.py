@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import lines
+from quillspan.functions.text import lines, text_key
 from quillspan.operators.evaluation import stats
 
 
@@ -40,6 +40,19 @@ def leaks(docs: DataFrame, forbidden: DataFrame, id_col: str = "doc_id", rows: i
     return words.join(lit, "_w").where(F.contains("_t", F.col("_l"))).select(id_col, "line_no", "literal").distinct()
 
 
+def word_set(texts: DataFrame, text_col: str = "text", least: int = 4) -> DataFrame:
+    """word: the different words of ``least`` letters or more, as text keys."""
+    return texts.select(F.explode(F.split(text_key(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9]+")).alias("word")).where(F.length("word") >= least).distinct()
+
+
+def forbidden_words(closed: DataFrame, scanned: DataFrame, clean: DataFrame, text_col: str = "text") -> DataFrame:
+    """word, kind: words of closed texts that clean ones don't have (fechada), and words that only scanned texts have (so_ocr)."""
+    known = word_set(clean, text_col)
+    own = word_set(closed, text_col)
+    secret = own.join(known, "word", "left_anti").withColumn("kind", F.lit("fechada"))
+    return secret.unionByName(word_set(scanned, text_col).join(own.union(known).distinct(), "word", "left_anti").withColumn("kind", F.lit("so_ocr")))
+
+
 def vote(numbers: DataFrame, least: int = 3) -> DataFrame:
     """doc_id, key, n, first: for each document the number (doc_id, key, first) that it has most often, ``least`` times or more; of equal ones the smallest key."""
     c = numbers.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= least)

@@ -55,6 +55,73 @@ def accuracy(rows: DataFrame, groupings: list[str]) -> DataFrame:
     return x.groupBy("grouping", "value").agg(F.count("*").alias("n"), F.sum(F.col("ok").cast("int")).alias("ok")).withColumn("accuracy", F.col("ok") / F.col("n"))
 
 
+def trace_with_gold(trace: DataFrame, gold: DataFrame) -> DataFrame:
+    """Rows of a trace that stand exactly on a gold span: documento_id, inicio, fim, caminho, confianca, ok (label, and id where it is real)."""
+    on = ["documento_id", "inicio", "fim"]
+    g = gold.select(*on, F.col("classificacao").alias("_label"), F.col("ids").alias("_ids"))
+    right = (F.col("classificacao") == F.col("_label")) & ((F.col("_label") != "real") | F.array_contains("_ids", F.col("id_canonico")))
+    return trace.join(g, on).select(*on, "caminho", "confianca", F.coalesce(right, F.lit(False)).alias("ok"))
+
+
+def by_path(rows: DataFrame) -> DataFrame:
+    """caminho, n, ok, accuracy, brier, confidence (mean) from rows (caminho, confianca, ok)."""
+    hit = F.col("ok").cast("int")
+    a = rows.groupBy("caminho").agg(F.count("*").alias("n"), F.sum(hit).alias("ok"), F.avg(F.pow(F.col("confianca") - hit, 2)).alias("brier"), F.avg("confianca").alias("confidence"))
+    return a.withColumn("accuracy", F.col("ok") / F.col("n"))
+
+
+def pair_census(pairs: DataFrame, group: str = "level") -> DataFrame:
+    """group and counts of pairs by what went wrong: right, wrong_id, wrong_label, missed, surplus, ignored; mean confidence of right and wrong ones.
+
+    ``ignored``, where there is such a column, marks additions that don't count.
+    """
+    gold, pred, right = F.col("gold"), F.col("pred"), F.col("right")
+    both = gold.isNotNull() & pred.isNotNull()
+    skip = F.coalesce(F.col("ignored"), F.lit(False)) if "ignored" in pairs.columns else F.lit(False)
+    return pairs.groupBy(group).agg(
+        F.count_if(both & right).alias("right"), F.count_if(both & ~right & (gold == pred)).alias("wrong_id"), F.count_if(both & (gold != pred)).alias("wrong_label"),
+        F.count_if(pred.isNull()).alias("missed"), F.count_if(gold.isNull() & ~skip).alias("surplus"), F.count_if(gold.isNull() & skip).alias("ignored"),
+        F.avg(F.when(both & right, F.col("confidence"))).alias("confidence_right"), F.avg(F.when(both & ~right, F.col("confidence"))).alias("confidence_wrong"),
+    )
+
+
+def arbiter_metrics(cases: DataFrame) -> DataFrame:
+    """operation, n, answered, abstained, accuracy, precision, seconds (mean) from rows (operation, expected, answer, seconds); a null answer abstains, a null expected one should."""
+    right = F.col("expected").eqNullSafe(F.col("answer"))
+    said = F.col("answer").isNotNull()
+    a = cases.groupBy("operation").agg(F.count("*").alias("n"), F.count_if(said).alias("answered"), F.count_if(~said).alias("abstained"), F.count_if(right).alias("_ok"), F.count_if(said & right).alias("_hit"), F.avg("seconds").alias("seconds"))
+    return a.select("operation", "n", "answered", "abstained", (F.col("_ok") / F.col("n")).alias("accuracy"), F.when(F.col("answered") > 0, F.col("_hit") / F.col("answered")).alias("precision"), "seconds")
+
+
+#: Least precision of an extractor's findings.
+LEAST_PRECISION = 0.9
+
+
+def run_verdict(core: DataFrame, other: DataFrame, score_core: float, score_other: float) -> DataFrame:
+    """One row: what an arbiter changes against the core alone, and LIGAR or MANTER DESLIGADO.
+
+    Runs are rows (doc_id, first, last, gold, pred, extracted). Vetoes: the score falls;
+    a made-up citation becomes real; extracted findings are right too rarely; a finding of
+    the core is lost.
+    """
+    on = ["doc_id", "first", "last"]
+    j = core.select(*on, F.col("gold").alias("_g"), F.col("pred").alias("_a")).join(other.select(*on, F.col("gold").alias("_h"), F.col("pred").alias("_b"), "extracted"), on, "full")
+    gold = F.coalesce("_g", "_h")
+    a = j.agg(
+        F.count_if((gold == "inventada") & ~F.col("_a").eqNullSafe(F.lit("real")) & (F.col("_b") == "real")).alias("made_up_to_real"),
+        F.count_if(F.col("_a").isNotNull() & F.col("_b").isNull()).alias("lost"), F.count_if(F.coalesce("extracted", F.lit(False))).alias("extracted"),
+        F.count_if(F.coalesce("extracted", F.lit(False)) & (gold == F.col("_b"))).alias("extracted_right"),
+    )
+    share = F.when(F.col("extracted") > 0, F.col("extracted_right") / F.col("extracted"))
+    veto = (F.lit(score_other) < F.lit(score_core)) | (F.col("made_up_to_real") > 0) | (F.coalesce(share, F.lit(1.0)) < LEAST_PRECISION) | (F.col("lost") > 0)
+    return a.withColumns({"delta": F.round(F.lit(score_other - score_core), 6), "precision": share, "verdict": F.when(veto, "MANTER DESLIGADO").otherwise("LIGAR")})
+
+
+def disjoint(parts: DataFrame, id_col: str) -> DataFrame:
+    """Documents that stand in more than one part; none if a split holds."""
+    return parts.groupBy(id_col).agg(F.count_distinct("part").alias("n")).where("n > 1")
+
+
 def errors_by_tag(rows: DataFrame, tags: str = "tags") -> DataFrame:
     """tag, n, errors for tags with an error at least."""
     x = rows.select(F.explode(tags).alias("tag"), "ok")

@@ -8,8 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import header_end
-from quillspan.operators import calibration, contract, detect, resolve, spans
+from quillspan.operators import calibration, contract, detect, distractors, resolve, spans
 
 Step = Callable[..., DataFrame]
 
@@ -23,15 +22,18 @@ class Result(NamedTuple):
 def verify(docs: DataFrame, identifiers: DataFrame, sumulas: DataFrame, statutes: DataFrame, table: DataFrame, initial: DataFrame | None = None, detector: Step = detect.detect, resolver: Step = resolve.resolve, calibrator: Step = calibration.confidence) -> Result:
     """Verify the citations of ``docs`` (doc_id, text).
 
-    Findings in a document's header are put aside; so are overlapping ones and
-    wide ones that the base doesn't confirm. They stay in the trace with their
+    Findings in a document's header are put aside; so are overlapping ones, those
+    that what stands around them shows to be something else (an act's number, a
+    sum, a date ...) and wide ones that the base doesn't confirm. They stay in the trace with their
     status. Every document has an output, with an empty list if it must.
     """
     found = detector(docs.select("doc_id", "text"))
-    head = header_end(docs)
-    found = found.join(head.select("doc_id", "header_end"), "doc_id").withColumn("_head", F.col("first") < F.col("header_end")).drop("header_end")
+    found = distractors.reasons(found, docs).withColumnRenamed("reason", "_reason")
+    own = found.withColumns({"cls": F.when(F.col("family") == "processo", F.col("fields")["cls"]), "uf": F.col("fields")["uf"]})
+    found = distractors.strict_reasons(own, docs).withColumn("_reason", F.coalesce("_reason", "reason")).drop("cls", "uf", "reason")
     decided = resolver(found, identifiers, sumulas, statutes)
-    decided = decided.withColumn("status", F.when(F.col("_head"), "descartada:cabecalho").otherwise(F.col("status"))).drop("_head")
+    aside = F.when(F.col("_reason") == "cabecalho", "descartada:cabecalho").otherwise(F.concat(F.lit("descartada:distrator:"), "_reason"))
+    decided = decided.withColumn("status", F.when(F.col("_reason").isNotNull(), aside).otherwise(F.col("status"))).drop("_reason")
     scored = calibrator(decided, table, initial)
     best = spans.suppress(scored.where("status = 'emitida'").select("doc_id", "first", "last", "family", "strength"), list(detect.FAMILIES)).withColumnRenamed("status", "_status")
     scored = scored.join(best, ["doc_id", "first", "last", "family", "strength"], "left").withColumn("status", F.coalesce(F.when(F.col("status") == "emitida", F.col("_status")), "status")).drop("_status")

@@ -121,6 +121,49 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_sample(spark: SparkSession, path: str) -> DataFrame:
+    """documento_id: the documents that a sample submission expects, trimmed; empty ones are left out."""
+    return spark.read.csv(path, header=True).select(F.trim("documento_id").alias("documento_id")).where("documento_id <> ''").distinct()
+
+
+def write_submission(cells: DataFrame, path: str, id_col: str = "doc_id") -> None:
+    """The submission as CSV with a header: documento_id, citacoes; sorted by id."""
+    out = cells.select(F.col(id_col).cast("string").alias("documento_id"), "citacoes").orderBy("documento_id")
+    out.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+
+
+def probe_output(spark: SparkSession, folder: str) -> None:
+    """Make the folder and write and delete a file in it; an error says that it can't be written, before any work is done."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path, probe = hadoop.Path(folder), hadoop.Path(f"{folder.rstrip('/')}/.probe")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        if not store.mkdirs(path):
+            raise OSError(f"{folder} can't be made")
+        store.create(probe, True).close()
+        store.delete(probe, False)
+    except Exception as e:
+        raise OSError(f"{folder} can't be written: {e}") from e
+
+
+def write_set(docs: DataFrame, folder: str, cases: DataFrame | None = None) -> None:
+    """A synthetic set (doc_id, text, gold): txt, goldenset.csv, casos_llm.jsonl, estatisticas.json and manifesto.json, each a Spark folder."""
+    g = docs.select("doc_id", F.posexplode("gold").alias("n", "g"))
+    base = ["documento_id", "citacao_id", "inicio", "fim", "trecho", "tipo", "classificacao", "id_canonico"]
+    gold = g.select(
+        F.coalesce(F.nullif(F.regexp_extract("doc_id", r"_n([1-9])_", 1), F.lit("")), F.lit("1")).alias("nivel"), F.col("doc_id").alias("documento_id"), F.concat(F.lit("c"), (F.col("n") + 1).cast("string")).alias("citacao_id"),
+        F.col("g.first").alias("inicio"), F.col("g.last").alias("fim"), F.replace("g.piece", F.lit("\n"), F.lit("\\n")).alias("trecho"), F.when(F.col("g.family") == "dispositivo", "lei").otherwise("jurisprudencia").alias("tipo"),
+        F.col("g.label").alias("classificacao"), F.when(F.col("g.label") == "real", F.col("g.key")).otherwise("").alias("id_canonico"), F.col("g.family").alias("familia"), F.array_join("g.noise", ";").alias("ruidos"),
+    )
+    docs.select("doc_id", "text").write.mode("overwrite").partitionBy("doc_id").text(f"{folder}/txt")
+    gold.select("nivel", *base).write.mode("overwrite").option("header", True).csv(f"{folder}/goldenset.csv")
+    gold.write.mode("overwrite").option("header", True).csv(f"{folder}/goldenset_estendido.csv")
+    if cases is not None:
+        cases.write.mode("overwrite").json(f"{folder}/casos_llm.jsonl")
+    gold.groupBy("familia", "classificacao").agg(F.count("*").alias("n")).write.mode("overwrite").json(f"{folder}/estatisticas.json")
+    docs.select("doc_id", F.sha2("text", 256).alias("sha256"), F.size("gold").alias("citacoes")).write.mode("overwrite").json(f"{folder}/manifesto.json")
+
+
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(contract.TRACE).json(path)
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from quillspan.operators import detect, lookup
+from quillspan.sources.shared import ship
 
 
 def read_documents(spark: SparkSession, folder: str, most_files: int = 1000) -> DataFrame:
     """A stream of doc_id, text, ts from Parquet files as they come."""
+    ship(spark)
     return spark.readStream.schema("doc_id string, text string, ts timestamp").option("maxFilesPerTrigger", most_files).parquet(folder)
 
 
