@@ -4,7 +4,7 @@ import importlib
 
 import pytest
 
-from quillspan.llm import contamination, neardup, pieces, privacy, registry
+from quillspan.llm import common, contamination, neardup, pieces, privacy, registry
 from tests.conftest import rows
 
 
@@ -33,7 +33,7 @@ def test_pipeline(spark, duck, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     seen = [docs]
     for _, stage in pipeline.STAGES:
-        seen.append(pipeline.materialise(stage(spark, seen[-1], sf_dir), "test"))
+        seen.append(common.materialise(stage(spark, seen[-1], sf_dir), "test"))
     ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
     good = {r[0] for r in duck.sql(f"SELECT doc_id FROM ({registry.ORACLE_SQL['op10_quality']}) WHERE kept").fetchall()}
     assert ids(seen[1]) == good and seen[1].columns == docs.columns
