@@ -9,8 +9,13 @@ from quillspan.llm.common import drop_path, shared_dir
 
 
 def _mins(pairs: DataFrame) -> DataFrame:
-    """u, v, m for pairs (u, v), m the least of u and its partners."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    """u, v, m for pairs (u, v), m the least of u and its partners.
+
+    All pairs of a star's centre meet in one join key. Grouping by a column more than
+    the join's leaves the join with plain shuffles on both sides, and only such a
+    join is split by adaptive execution where a centre has very many partners.
+    """
+    least = pairs.groupBy("u", F.octet_length("u").alias("n")).agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
     return pairs.join(least, F.col("u") == F.col("w")).select("u", "v", "m")
 
 
