@@ -36,6 +36,6 @@ def test_generated_documents_follow_the_input(spark, tmp_path):
     spark.range(300).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
     spark.range(50).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
     assert catalogue.QUERIES["synth_docs"](spark, str(tmp_path)).count() == 300
-    n = {r.label: r.n for r in catalogue.QUERIES["detect_all_families"](spark, str(tmp_path)).collect()}
+    n = {(r.family, r.label): r.n for r in catalogue.QUERIES["detect_all_families"](spark, str(tmp_path)).collect()}
     gold = catalogue.QUERIES["synth_docs"](spark, str(tmp_path)).agg({"n_gold": "sum"}).first()[0]
     assert sum(n.values()) == gold
