@@ -65,7 +65,7 @@ def wide_keys(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["alt_key_repair", "lookup_cardinality", "mentions_without_owner"])
+@pytest.mark.parametrize("name", ["alt_key_repair", "lookup_cardinality", "mentions_without_owner", "cite_verify"])
 def test_moved_numbers_have_no_owner_among_many_orders(spark, wide_keys, name):
     got, want = against_sql(spark, wide_keys, name)
     assert got == want
